@@ -133,11 +133,11 @@ def seconds_from_timestamp(c: Column, dtype: T.DataType) -> Column:
         return (F.unix_date(c).cast("bigint") * F.lit(SECONDS_PER_DAY)).cast("double")
     if isinstance(dtype, T.TimestampNTZType):
         # no session time zone involved, so a clock change cannot merge two values
-        return (
-            F.unix_date(c.cast("date")).cast("bigint") * F.lit(SECONDS_PER_DAY)
-            + F.hour(c) * F.lit(3600)
-            + F.minute(c) * F.lit(60)
-        ).cast("double") + F.extract(F.lit("SECOND"), c).cast("double")
+        minutes = F.unix_date(c.cast("date")).cast("bigint") * F.lit(1440) + (
+            F.hour(c) * F.lit(60) + F.minute(c)
+        )
+        micros = (F.extract(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
+        return (minutes * F.lit(60_000_000) + micros).cast("double") / F.lit(1e6)
     return F.unix_micros(c).cast("double") / F.lit(1e6)
 
 

@@ -440,3 +440,11 @@ CANDIDATES = {
 def candidates(types: DataFrame, role: str) -> DataFrame:
     """Columns that may fill a role: ``numeric``, ``categorical`` or ``date``."""
     return types.where(CANDIDATES[role]).select("pos", "variable")
+
+
+def role_candidates(types: DataFrame) -> DataFrame:
+    """All candidate lists as (role, pos, variable), from one evaluation of the types."""
+    roles = [F.when(F.expr(test), F.lit(role)) for role, test in CANDIDATES.items()]
+    return types.select(
+        F.explode(F.filter(F.array(*roles), lambda x: x.isNotNull())).alias("role"), "pos", "variable"
+    )
