@@ -74,16 +74,16 @@ FINDING_OUT = "priority:i kind:s subject:s severity:s"
 POSITIONS_OUT = "event_id:i"
 
 TYPES_SQL = (
-    "SELECT pos, variable, n AS n_non_missing, u AS n_unique, round(ratio, 3) AS unique_ratio, "
+    "SELECT pos, variable, n AS n_non_missing, u AS n_unique, round_even(ratio, 3) AS unique_ratio, "
     "vt AS variable_type, is_time AS is_time_candidate FROM types"
 )
 SUMMARY_SQL = (
-    "SELECT pos, variable, vt AS variable_type, n_missing AS missing_count, round(miss * 100, 2) AS missing_percent, "
-    "n AS non_missing_count, u AS unique_count, round(ratio, 4) AS unique_rate FROM types"
+    "SELECT pos, variable, vt AS variable_type, n_missing AS missing_count, round_even(miss * 100, 2) AS missing_percent, "
+    "n AS non_missing_count, u AS unique_count, round_even(ratio, 4) AS unique_rate FROM types"
 )
 OUTLIER_SQL = (
-    "SELECT o.pos, o.variable, n_out AS outlier_count, n_fin AS non_missing_count, round(rate, 4) AS outlier_rate, "
-    "round(rate * 100, 2) AS outlier_percent, lo AS lower_bound, hi AS upper_bound "
+    "SELECT o.pos, o.variable, n_out AS outlier_count, n_fin AS non_missing_count, round_even(rate, 4) AS outlier_rate, "
+    "round_even(rate * 100, 2) AS outlier_percent, lo AS lower_bound, hi AS upper_bound "
     "FROM outl o JOIN types t ON o.pos = t.pos WHERE vt = 'numeric'"
 )
 
@@ -214,7 +214,7 @@ def _registry() -> dict[str, tuple]:
             "pos:i variable:s issue:s numeric_percent:d date_percent:d",
             lambda s, d, n=name: Q.type_issues(typed_profile(frame_of(_read(n, s, d)))),
             f"WITH {O.profile(_c(name))}, {O.ISSUE_CTE} SELECT pos, variable, array_to_string(issues, '; ') AS issue, "
-            "round(ns * 100, 2) AS numeric_percent, round(ds * 100, 2) AS date_percent FROM iss",
+            "round_even(ns * 100, 2) AS numeric_percent, round_even(ds * 100, 2) AS date_percent FROM iss",
         )
     r["special_values"] = (
         "pos:i variable:s nan_count:i inf_count:i negative_inf_count:i has_special_value:b",
@@ -247,7 +247,7 @@ def _registry() -> dict[str, tuple]:
         "n_rows:i duplicate_count:i duplicate_percent:d raw_score:i score:i relaxed:b",
         lambda s, d: _quality("line_categories")(s, d).duplicate_table,
         f"WITH {O.quality(_c('line_categories'))} SELECT n_rows, dups AS duplicate_count, "
-        f"round(dup_rate * 100, 2) AS duplicate_percent, {points} AS raw_score, "
+        f"round_even(dup_rate * 100, 2) AS duplicate_percent, {points} AS raw_score, "
         "(SELECT score FROM items WHERE item = 'duplicate') AS score, relaxed FROM fig",
     )
     for name, key in (
@@ -269,7 +269,7 @@ def _registry() -> dict[str, tuple]:
         "pos:i variable:s max_category_percent:d unique_count:i unique_rate:d problem:s",
         lambda s, d: Q.category_quality(typed_profile(frame_of(_read("labels", s, d)))),
         f"WITH {O.profile(_c('labels'))}, {O.CAT_CTE} SELECT pos, variable, top AS max_category_percent, u AS unique_count, "
-        "round(ur, 4) AS unique_rate, array_to_string(problems, '; ') AS problem FROM cat",
+        "round_even(ur, 4) AS unique_rate, array_to_string(problems, '; ') AS problem FROM cat",
     )
     r["basic_structure"] = (
         "n_rows:i n_cols:i n_analyzable:i n_name_problems:i force_danger:b score:i",

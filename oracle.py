@@ -178,8 +178,8 @@ def missing_table(case: Case) -> str:
     ]
     return (
         f"{clean(case)}, counted AS ({' UNION ALL '.join(parts)}), "
-        "miss AS (SELECT pos, variable, n_rows, missing_count, round(missing_count / n_rows, 4) AS missing_rate, "
-        "round(missing_count / n_rows * 100, 2) AS missing_percent, missing_count / n_rows >= 0.1 AS missing_over_10, "
+        "miss AS (SELECT pos, variable, n_rows, missing_count, round_even(missing_count / n_rows, 4) AS missing_rate, "
+        "round_even(missing_count / n_rows * 100, 2) AS missing_percent, missing_count / n_rows >= 0.1 AS missing_over_10, "
         "missing_count / n_rows >= 0.2 AS missing_over_20, missing_count / n_rows >= 0.3 AS missing_over_30, "
         "missing_count / n_rows >= 0.4 AS high_missing FROM counted)"
     )
@@ -219,7 +219,7 @@ STRUCT_CTE = (
     "AND u - (n_pinf > 0)::INT - (n_ninf > 0)::INT = 1)"
 )
 CAT_CTE = (
-    "cat AS (SELECT *, round(mx / n * 100, 2) AS top, u / n_rows AS ur, list_filter(["
+    "cat AS (SELECT *, round_even(mx / n * 100, 2) AS top, u / n_rows AS ur, list_filter(["
     "CASE WHEN mx / n >= 0.9 THEN 'dominant_category' END, CASE WHEN u / n_rows >= 0.5 THEN 'too_many_values_for_rows' END, "
     "CASE WHEN u > 10 THEN 'too_many_categories' END], lambda x: x IS NOT NULL) AS problems "
     "FROM types WHERE vt IN ('categorical', 'numeric_categorical'))"
@@ -267,14 +267,14 @@ def quality(case: Case, codes: tuple = ()) -> str:
 onum AS (SELECT o.* FROM outl o JOIN types t ON o.pos = t.pos WHERE t.vt = 'numeric'),
 fig AS (SELECT *, dups / n_rows AS dup_rate, dups > 0 AND n_numeric = 0 AND n_cat > 0 AS relaxed,
   n_rows = 0 OR n_ok = 0 AS force FROM (SELECT count(*) AS n_cols, max(n_rows) AS n_rows,
-  sum(n_missing) / sum(n_rows) AS total_rate, max(round(miss, 4)) AS max_rate,
+  sum(n_missing) / sum(n_rows) AS total_rate, max(round_even(miss, 4)) AS max_rate,
   count(*) FILTER (miss >= 0.1) AS over_10, count(*) FILTER (miss >= 0.2) AS over_20, count(*) FILTER (miss >= 0.3) AS over_30,
   (SELECT count(*) FROM iss) / count(*) AS type_rate,
   coalesce(count(*) FILTER (n_nan + n_pinf + n_ninf > 0) / nullif(count(*) FILTER (kind = 'numeric'), 0), 0) AS special_rate,
   count(*) FILTER (n_nan + n_pinf + n_ninf > 0) AS n_special,
   (SELECT count(DISTINCT pos) FROM struct) / count(*) AS struct_rate,
   (SELECT coalesce(count(*) FILTER (len(problems) > 0) / nullif(count(*), 0), 0) FROM cat) AS cat_rate,
-  (SELECT coalesce(avg(round(rate, 4)), 0) FROM onum) AS mean_out, (SELECT dups FROM dup) AS dups,
+  (SELECT coalesce(avg(round_even(rate, 4)), 0) FROM onum) AS mean_out, (SELECT dups FROM dup) AS dups,
   count(*) FILTER (vt = 'numeric') AS n_numeric, count(*) FILTER (vt = 'date') AS n_date,
   count(*) FILTER (vt IN ('categorical', 'numeric_categorical')) AS n_cat,
   count(*) FILTER (vt IN ('date', 'categorical', 'numeric_categorical', 'numeric')) AS n_ok FROM types)),
@@ -298,8 +298,8 @@ MAJOR = (
 )
 FINDINGS = """allf AS (
 SELECT 1 AS priority, 'item' AS kind, item AS subject, status AS severity FROM items WHERE status <> 'good'
-UNION ALL SELECT 2, 'missing', variable, CASE WHEN round(miss * 100, 2) >= 10 THEN 'danger' ELSE 'caution' END FROM types WHERE n_missing > 0
-UNION ALL SELECT 3, 'outlier', variable, CASE WHEN round(rate * 100, 2) >= 5 THEN 'danger' ELSE 'caution' END FROM onum
+UNION ALL SELECT 2, 'missing', variable, CASE WHEN round_even(miss * 100, 2) >= 10 THEN 'danger' ELSE 'caution' END FROM types WHERE n_missing > 0
+UNION ALL SELECT 3, 'outlier', variable, CASE WHEN round_even(rate * 100, 2) >= 5 THEN 'danger' ELSE 'caution' END FROM onum
   WHERE n_out > 0 AND NOT EXISTS (SELECT 1 FROM items WHERE item = 'outlier' AND status <> 'good')
 UNION ALL SELECT 4, 'duplicate', CAST(dups AS VARCHAR), 'caution' FROM fig WHERE dups > 0
 UNION ALL SELECT 5, 'warning', warning, 'info' FROM warn)"""
@@ -308,9 +308,9 @@ UNION ALL SELECT 'check_outliers' WHERE EXISTS (SELECT 1 FROM onum WHERE n_out >
 UNION ALL SELECT 'convert_types' WHERE EXISTS (SELECT 1 FROM iss)
 UNION ALL SELECT 'review_duplicates' FROM fig WHERE dups > 0"""
 COLUMN_REPORT = """SELECT *, CASE WHEN missing_percent >= 10 THEN 'red' WHEN missing_percent > 0 OR outlier_count IS NOT NULL THEN 'amber' ELSE 'none' END AS band
-FROM (SELECT t.pos, t.variable, vt AS variable_type, round(round(miss * 100, 2), 1) AS missing_percent, u AS unique_count,
-  round(round(ratio, 4) * 100, 1) AS unique_percent, CASE WHEN n_out > 0 THEN n_out END AS outlier_count,
-  CASE WHEN n_out > 0 THEN round(rate * 100, 2) END AS outlier_percent FROM types t LEFT JOIN onum o ON o.pos = t.pos)"""
+FROM (SELECT t.pos, t.variable, vt AS variable_type, round_even(round_even(miss * 100, 2), 1) AS missing_percent, u AS unique_count,
+  round_even(round_even(ratio, 4) * 100, 1) AS unique_percent, CASE WHEN n_out > 0 THEN n_out END AS outlier_count,
+  CASE WHEN n_out > 0 THEN round_even(rate * 100, 2) END AS outlier_percent FROM types t LEFT JOIN onum o ON o.pos = t.pos)"""
 
 
 # --- readiness ----------------------------------------------------------------------------
@@ -332,7 +332,7 @@ def sheet(
     total = " + ".join(code for code, _ in points)
     rows = [f"SELECT 'essential' AS section, '{c}' AS item, CAST(({t})::INT AS DOUBLE) AS value FROM p" for c, t in essential]
     rows += [f"SELECT 'points', '{c}', CAST({c} AS DOUBLE) FROM p WHERE passed" for c, _ in points]
-    rows += [f"SELECT 'summary', '{n}', round(CAST({n} AS DOUBLE), 4) FROM p" for n in summary]
+    rows += [f"SELECT 'summary', '{n}', round_even(CAST({n} AS DOUBLE), 4) FROM p" for n in summary]
     rows += [f"SELECT 'message', '{c}', 1.0 FROM p WHERE {t}" for c, t in messages]
     rows += [f"SELECT 'note', '{c}', 1.0 FROM p WHERE {t}" for c, t in notes]
     rows.append(
@@ -735,7 +735,7 @@ def time_gaps(case: Case, time: str) -> str:
 
 def ready_timeseries(case: Case, time: str, value: str) -> str:
     figures = (
-        "SELECT n_rows AS n_valid, n_points, (n_rows - n_points) / n_rows AS repeat_share, gs.cv AS gap_cv, cv_raw AS gap_cv_raw, trading, "
+        "SELECT gs.n_rows AS n_valid, n_points, (gs.n_rows - n_points) / gs.n_rows AS repeat_share, gs.cv AS gap_cv, cv_raw AS gap_cv_raw, trading, "
         f"(SELECT miss FROM types WHERE variable = '{time}') AS time_missing, miss AS value_missing, u AS value_unique, vt, "
         f"(SELECT rate FROM outl WHERE variable = '{value}') AS outlier_rate FROM types, gs WHERE variable = '{value}'"
     )
@@ -846,7 +846,7 @@ def pairs_sql(columns: list[str]) -> str:
         for i, a in enumerate(columns)
         for b in columns[i + 1 :]
     ]
-    return "SELECT *, coalesce(abs(round(r, 9)) >= 0.9, false) AS is_strong FROM (" + " UNION ALL ".join(parts) + ")"
+    return "SELECT *, coalesce(abs(round_even(r, 9)) >= 0.9, false) AS is_strong FROM (" + " UNION ALL ".join(parts) + ")"
 
 
 def sequence_cte(case: Case) -> str:

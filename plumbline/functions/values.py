@@ -47,7 +47,9 @@ def is_floating(dtype: T.DataType) -> bool:
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    """Blanks removed at both ends; long texts without any are passed through untouched."""
+    edge = F.left(c, F.lit(1)).isin(list(BLANKS)) | F.right(c, F.lit(1)).isin(list(BLANKS))
+    return F.when(edge, F.btrim(c, F.lit(BLANKS))).otherwise(c)
 
 
 def text_or_null(c: Column) -> Column:
@@ -148,5 +150,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Round to a number of digits, ties to the even neighbour."""
+    scale = F.lit(10.0**digits)
+    return F.rint(c * scale) / scale
+
+
 def percent(rate: Column, digits: int = 2) -> Column:
-    return F.round(rate * F.lit(100.0), digits)
+    return rounded(rate * F.lit(100.0), digits)

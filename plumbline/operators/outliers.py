@@ -130,7 +130,7 @@ class Outliers:
             "variable",
             "outlier_count",
             "non_missing_count",
-            F.round(rate, 4).alias("outlier_rate"),
+            V.rounded(rate, 4).alias("outlier_rate"),
             V.percent(rate).alias("outlier_percent"),
             "lower_bound",
             "upper_bound",

@@ -1,19 +1,16 @@
 """The column profile: everything that depends on the distinct values of a column.
 
-For each column the distinct values and their counts are formed with one
-``groupBy(value).count()``.  The map side combines equal values first, so a value
-that fills a third of the table reaches the shuffle as one row per task.  Numbers,
-dates and short strings are their own key; longer strings are represented by a
-SHA-256 digest, so whole texts are read but never shuffled.  A second aggregate
-folds the value counts to one row per column.
-
-Two layouts give the same result:
-
-* ``single_pass=False`` - one pruned branch per column.  On parquet and ORC each
-  branch reads its own column only, so the bytes read stay the same as one scan and
-  the shuffle rows keep their native type.
-* ``single_pass=True`` - one scan, every row is stacked to (column, value) rows.
-  For CSV/JSON and for inputs that are costly to recompute.
+The cells of the table are stacked to (column, value) rows and counted with one
+``groupBy(column, value).count()``.  The map side combines equal values first, so a value
+that fills a third of the table reaches the shuffle as one row per task, and no task holds
+a column.  Numbers, dates and short strings are their own key; longer strings are
+represented by a SHA-256 digest, so whole texts are read but never shuffled.  A second
+aggregate folds the value counts to one row per column.
+
+Columns are stacked by the shape of their key (whole number, floating point, text): at
+most three scans, each reading its own columns of a parquet or ORC file, with narrow
+typed shuffle rows.  ``single_pass=True`` stacks all columns in one scan instead, for
+CSV/JSON and for inputs that are costly to recompute.
 """
 
 from __future__ import annotations
@@ -33,7 +30,8 @@ from plumbline.operators.clean import Frame, frame_of
 from plumbline.operators.local import local_table
 
 SHORT_TEXT = 64
-WIDE_TABLE = 150
+# stacked columns per scan, so that generated code stays small on very wide tables
+COLUMNS_PER_SCAN = 64
 ROW_FORMATS = re.compile(r"\.(csv|tsv|txt|json|jsonl)(\.\w+)?$", re.IGNORECASE)
 
 # Fixed value: token test for identifier-like column names.
@@ -65,54 +63,111 @@ def _text_key(c: Column) -> Column:
     return F.when(F.length(c) <= SHORT_TEXT, c).otherwise(F.concat(F.lit("#"), F.sha2(c, 256)))
 
 
-def _keys(frame: Frame, p: int) -> tuple[Column, Column]:
-    """Grouping key and, for long text, the flags that need the whole text.
+def _long_text_flags(c: Column) -> Column:
+    """What has to be known of a long text besides its digest.
 
     Bit 1: a number, bit 2: a date hint somewhere in the text.  The flags follow from
     the text, so adding them to the key changes no group.
     """
-    c, dtype = frame.col(p), frame.dtypes[p]
     none = F.lit(0)
-    if frame.kinds[p] == "string":
-        long_flags = F.when(
-            F.length(c) > SHORT_TEXT,
-            F.when(V.looks_numeric(c), F.lit(1)).otherwise(none)
-            + F.when(c.rlike(V.DATE_HINT_PATTERN), F.lit(2)).otherwise(none),
-        ).otherwise(none)
-        return _text_key(c), long_flags
-    if isinstance(dtype, T.DecimalType):
-        return c.cast("string"), none
-    return c, none
-
-
-def _fold(key: Column, dtype: T.DataType, cnt: Column, flags: Column) -> list[Column]:
-    """Aggregates over (value, count) rows that make up one profile row."""
-    kind = V.kind_of(dtype)
-    here = V.present(key, dtype)
-    zero = F.lit(0).cast("bigint")
+    return F.when(
+        F.length(c) > SHORT_TEXT,
+        F.when(V.looks_numeric(c), F.lit(1)).otherwise(none)
+        + F.when(c.rlike(V.DATE_HINT_PATTERN), F.lit(2)).otherwise(none),
+    ).otherwise(none)
+
+
+def _shape(frame: Frame, p: int) -> str:
+    dtype, kind = frame.dtypes[p], frame.kinds[p]
+    if kind == "nested":
+        return "nested"
+    if kind == "string" or isinstance(dtype, T.DecimalType):
+        return "text"
+    return "real" if V.is_floating(dtype) else "whole"
+
+
+def _whole_key(frame: Frame, p: int) -> Column:
+    c, kind, dtype = frame.col(p), frame.kinds[p], frame.dtypes[p]
+    if kind == "timestamp":
+        return F.round(V.seconds_from_timestamp(c, dtype) * F.lit(1e6)).cast("bigint")
+    if kind == "date":
+        return F.unix_date(c).cast("bigint")
+    if kind == "boolean":
+        return c.cast("int").cast("bigint")
+    return c.cast("bigint")
+
+
+def _stacked_stats(frame: Frame, positions: Sequence[int]) -> DataFrame:
+    """Profile rows of the given columns from one scan."""
+    shapes = {p: _shape(frame, p) for p in positions}
+    used = [s for s in ("whole", "real", "text") if s in shapes.values()]
+    keys = used + (["f"] if "text" in used else [])
+    empty = {"whole": "bigint", "real": "double", "text": "string"}
+    cells: list[Column] = []
+    for p in positions:
+        c = frame.col(p)
+        text = frame.kinds[p] == "string"
+        filled = {
+            "whole": lambda p=p: _whole_key(frame, p),
+            "real": lambda c=c: c.cast("double"),
+            "text": lambda c=c, text=text: _text_key(c) if text else c.cast("string"),
+        }
+        cells.append(F.lit(p))
+        cells += [filled[s]() if shapes[p] == s else F.lit(None).cast(empty[s]) for s in used]
+        if "text" in used:
+            cells.append(_long_text_flags(c) if text else F.lit(0))
+    counted = (
+        frame.df.select(F.stack(F.lit(len(positions)), *cells).alias("pos", *keys))
+        .groupBy("pos", *keys)
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    return counted.groupBy("pos").agg(*_fold(frame, positions, used))
+
+
+def _fold(frame: Frame, positions: Sequence[int], used: Sequence[str]) -> list[Column]:
+    """Aggregates over (pos, value, count) rows that make up one profile row."""
+    cnt, zero, no = F.col("cnt"), F.lit(0).cast("bigint"), F.lit(False)
+
+    def members(*kinds: str) -> Column:
+        return F.col("pos").isin([p for p in positions if frame.kinds[p] in kinds])
 
     def total(test: Column) -> Column:
         return F.coalesce(F.sum(F.when(test, cnt)), zero)
 
-    nan = total(F.isnan(key)) if V.is_floating(dtype) else zero
-    pos_inf = total(key == F.lit(float("inf"))) if V.is_floating(dtype) else zero
-    neg_inf = total(key == F.lit(float("-inf"))) if V.is_floating(dtype) else zero
-    number_text, date_text, hint = zero, zero, F.lit(False)
-    if kind == "string":
-        short = F.length(key) <= SHORT_TEXT
-        number_text = total((short & V.looks_numeric(key)) | flags.isin(1, 3))
-        date_text = total(short & V.looks_like_date(key))
+    here, number = no, F.lit(None).cast("double")
+    nan = pos_inf = neg_inf = number_text = date_text = zero
+    hint, dated_share = no, no
+    if "whole" in used:
+        here = here | F.col("whole").isNotNull()
+        number = F.coalesce(number, F.col("whole").cast("double"))
+    if "real" in used:
+        real = F.col("real")
+        here = here | (real.isNotNull() & ~F.isnan(real))
+        number = F.coalesce(number, real)
+        nan = total(F.isnan(real))
+        pos_inf = total(real == F.lit(float("inf")))
+        neg_inf = total(real == F.lit(float("-inf")))
+    if "text" in used:
+        text, flags = F.col("text"), F.col("f")
+        here = here | text.isNotNull()
+        number = F.coalesce(number, text.try_cast("double"))
+        words = members("string")
+        short = words & (F.length(text) <= SHORT_TEXT)
+        dated = F.coalesce(short & V.looks_like_date(text), no)
+        number_text = total((short & V.looks_numeric(text)) | flags.isin(1, 3))
+        date_text = total(dated)
         hint = F.coalesce(
-            F.bool_or((short & key.rlike(V.DATE_HINT_PATTERN)) | (flags >= 2)), F.lit(False)
+            F.bool_or((short & text.rlike(V.DATE_HINT_PATTERN)) | (flags >= 2)), no
+        )
+        # this share is over distinct values, not rows
+        dated_share = F.coalesce(
+            F.avg(F.when(words & here, dated.cast("double"))) >= F.lit(0.90), no
         )
-        # the reference share is over distinct values, not rows
-        share = F.avg(F.when(here, F.when(short & V.looks_like_date(key), 1.0).otherwise(0.0)))
-        is_date = F.coalesce(share >= F.lit(0.90), F.lit(False))
-    elif kind == "numeric":
-        compact = V.seconds_from_compact_number(key.cast("double")).isNotNull()
-        is_date = F.coalesce(F.bool_and(F.when(here, compact)), F.lit(False))
-    else:
-        is_date = F.lit(kind in ("date", "timestamp"))
+    clocks = F.coalesce(F.bool_or(members("date", "timestamp")), no)
+    compact = no
+    if any(frame.kinds[p] == "numeric" for p in positions):
+        is_compact = V.seconds_from_compact_number(number).isNotNull()
+        compact = F.coalesce(F.bool_and(F.when(members("numeric") & here, is_compact)), no)
     return [
         F.coalesce(F.sum(cnt), zero).alias("n_rows"),
         total(~here).alias("n_missing"),
@@ -126,7 +181,7 @@ def _fold(key: Column, dtype: T.DataType, cnt: Column, flags: Column) -> list[Co
         number_text.alias("n_number_text"),
         date_text.alias("n_date_text"),
         hint.alias("has_date_hint"),
-        is_date.alias("is_date"),
+        (clocks | dated_share | compact).alias("is_date"),
     ]
 
 
@@ -150,99 +205,6 @@ def _nested_stats(frame: Frame, p: int) -> DataFrame:
     )
 
 
-def _column_stats(frame: Frame, p: int) -> DataFrame:
-    key, flags = _keys(frame, p)
-    text = frame.kinds[p] == "string"
-    counted = (
-        frame.df.select(key.alias("k"), *([flags.alias("f")] if text else []))
-        .groupBy("k", *(["f"] if text else []))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    dtype = T.StringType() if isinstance(frame.dtypes[p], T.DecimalType) else frame.dtypes[p]
-    if isinstance(frame.dtypes[p], T.DecimalType):
-        return counted.agg(*_fold_decimal()).select(F.lit(p).alias("pos"), "*")
-    return counted.agg(
-        *_fold(F.col("k"), dtype, F.col("cnt"), F.col("f") if text else F.lit(0))
-    ).select(F.lit(p).alias("pos"), "*")
-
-
-def _fold_decimal() -> list[Column]:
-    """Decimals are grouped by their text and tested for YYYYMMDD as numbers."""
-    number = F.col("k").cast("double")
-    return _fold(number, T.DecimalType(38, 18), F.col("cnt"), F.lit(0))
-
-
-def _stacked_stats(frame: Frame, positions: Sequence[int]) -> DataFrame:
-    """One scan for all given columns: stack to (pos, whole, real, text, flags) rows."""
-    cells: list[Column] = []
-    for p in positions:
-        key, flags = _keys(frame, p)
-        kind, dtype = frame.kinds[p], frame.dtypes[p]
-        whole, real, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-        if kind == "string" or isinstance(dtype, T.DecimalType):
-            text = key
-        elif V.is_floating(dtype):
-            real = key.cast("double")
-        elif kind == "timestamp":
-            whole = F.round(V.seconds_from_timestamp(key, dtype) * F.lit(1e6)).cast("bigint")
-        elif kind == "date":
-            whole = F.unix_date(key).cast("bigint")
-        elif kind == "boolean":
-            whole = key.cast("int").cast("bigint")
-        else:
-            whole = key.cast("bigint")
-        cells += [F.lit(p), whole, real, text, flags]
-    counted = (
-        frame.df.select(
-            F.stack(F.lit(len(positions)), *cells).alias("pos", "whole", "real", "text", "f")
-        )
-        .groupBy("pos", "whole", "real", "text", "f")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-
-    def members(test) -> Column:
-        return F.col("pos").isin([p for p in positions if test(p)])
-
-    numeric = members(lambda p: frame.kinds[p] == "numeric")
-    texts = members(lambda p: frame.kinds[p] == "string")
-    clocks = members(lambda p: frame.kinds[p] in ("date", "timestamp"))
-    whole, real, text, cnt = (F.col(c) for c in ("whole", "real", "text", "cnt"))
-    here = whole.isNotNull() | text.isNotNull() | (real.isNotNull() & ~F.isnan(real))
-    number = F.when(
-        numeric, F.coalesce(whole.cast("double"), real, text.try_cast("double"))
-    )
-    compact = V.seconds_from_compact_number(number).isNotNull()
-    short = texts & (F.length(text) <= SHORT_TEXT)
-    dated = F.coalesce(short & V.looks_like_date(text), F.lit(False))
-    zero = F.lit(0).cast("bigint")
-
-    def total(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, cnt)), zero)
-
-    return counted.groupBy("pos").agg(
-        F.sum(cnt).alias("n_rows"),
-        total(~here).alias("n_missing"),
-        total(here).alias("n_non_missing"),
-        F.count(F.when(here, F.lit(1))).alias("n_unique"),
-        F.coalesce(F.max(F.when(here, cnt)), zero).alias("max_count"),
-        F.coalesce(F.min(F.when(here, cnt)), zero).alias("min_count"),
-        total(F.isnan(real)).alias("n_nan"),
-        total(real == F.lit(float("inf"))).alias("n_pos_inf"),
-        total(real == F.lit(float("-inf"))).alias("n_neg_inf"),
-        total((short & V.looks_numeric(text)) | F.col("f").isin(1, 3)).alias("n_number_text"),
-        total(dated).alias("n_date_text"),
-        F.coalesce(
-            F.bool_or((short & text.rlike(V.DATE_HINT_PATTERN)) | (F.col("f") >= 2)), F.lit(False)
-        ).alias("has_date_hint"),
-        F.coalesce(
-            F.bool_or(clocks)
-            | (F.avg(F.when(texts & here, dated.cast("double"))) >= F.lit(0.90))
-            | F.bool_and(F.when(numeric & here, compact)),
-            F.bool_or(clocks),
-        ).alias("is_date"),
-    )
-
-
 def _reads_row_format(df: DataFrame) -> bool:
     try:
         files = df.inputFiles()
@@ -254,14 +216,17 @@ def _reads_row_format(df: DataFrame) -> bool:
 def column_stats(frame: Frame, single_pass: bool | None = None) -> DataFrame:
     """One row per column with counts over its rows and its distinct values."""
     if single_pass is None:
-        single_pass = frame.width > WIDE_TABLE or _reads_row_format(frame.df)
-    nested = [p for p, k in enumerate(frame.kinds) if k == "nested"]
-    flat = [p for p, k in enumerate(frame.kinds) if k != "nested"]
-    parts = [_nested_stats(frame, p) for p in nested]
-    if single_pass and flat:
-        parts.append(_stacked_stats(frame, flat))
-    else:
-        parts += [_column_stats(frame, p) for p in flat]
+        single_pass = _reads_row_format(frame.df)
+    groups: dict[str, list[int]] = {}
+    for p in range(frame.width):
+        shape = _shape(frame, p)
+        groups.setdefault("all" if single_pass and shape != "nested" else shape, []).append(p)
+    parts = [_nested_stats(frame, p) for p in groups.pop("nested", [])]
+    for members in groups.values():
+        parts += [
+            _stacked_stats(frame, members[i : i + COLUMNS_PER_SCAN])
+            for i in range(0, len(members), COLUMNS_PER_SCAN)
+        ]
     if not parts:
         return local_table(frame.df.sparkSession, [], STATS_SCHEMA)
     return reduce(DataFrame.unionByName, parts)
@@ -409,7 +374,7 @@ def variable_types(
         "physical_type",
         "n_non_missing",
         "n_unique",
-        F.round("unique_ratio", 3).alias("unique_ratio"),
+        V.rounded(F.col("unique_ratio"), 3).alias("unique_ratio"),
         "variable_type",
         "is_time_candidate",
     )
@@ -425,7 +390,7 @@ def column_summary(profiled: DataFrame) -> DataFrame:
         V.percent(V.ratio(F.col("n_missing"), F.col("n_rows"))).alias("missing_percent"),
         F.col("n_non_missing").alias("non_missing_count"),
         F.col("n_unique").alias("unique_count"),
-        F.round(V.ratio(F.col("n_unique"), F.col("n_non_missing")), 4).alias("unique_rate"),
+        V.rounded(V.ratio(F.col("n_unique"), F.col("n_non_missing")), 4).alias("unique_rate"),
     )
 
 

@@ -107,7 +107,7 @@ def missing_rates(base: DataFrame) -> DataFrame:
         "pos",
         "variable",
         "missing_count",
-        F.round(rate, 4).alias("missing_rate"),
+        V.rounded(rate, 4).alias("missing_rate"),
         V.percent(rate).alias("missing_percent"),
         (rate >= 0.10).alias("missing_over_10"),
         (rate >= 0.20).alias("missing_over_20"),
@@ -127,13 +127,6 @@ def missing_score(table: DataFrame) -> DataFrame:
         F.count_if(F.expr("missing_over_20")).alias("over_20"),
         F.count_if(F.expr("missing_over_30")).alias("over_30"),
     ).withColumn("total_rate", V.ratio(F.col("total_missing"), F.col("total_cells")))
-    pattern = (
-        F.lit(10)
-        - first_match([("max_rate >= 0.30", 3), ("max_rate >= 0.20", 2), ("max_rate >= 0.10", 1)], 0)
-        - first_match([("over_30 > 0", 2)], 0)
-        - first_match([("over_20 > 0", 2)], 0)
-        - first_match([("over_10 > 0", 1)], 0)
-    )
     return totals.select(
         "total_missing",
         "total_cells",
@@ -142,28 +135,44 @@ def missing_score(table: DataFrame) -> DataFrame:
         "over_10",
         "over_20",
         "over_30",
-        band("total_rate", "<", MISSING_TOTAL, 0).alias("total_points"),
-        F.greatest(pattern, F.lit(0)).alias("pattern_points"),
+        missing_total_points().alias("total_points"),
+        missing_pattern_points().alias("pattern_points"),
     ).withColumn("score", F.col("total_points") + F.col("pattern_points"))
 
 
+def missing_total_points() -> Column:
+    return band("total_rate", "<", MISSING_TOTAL, 0)
+
+
+def missing_pattern_points() -> Column:
+    """Ten points less deductions for the worst column and for columns over each limit."""
+    left = (
+        F.lit(10)
+        - first_match([("max_rate >= 0.30", 3), ("max_rate >= 0.20", 2), ("max_rate >= 0.10", 1)], 0)
+        - first_match([("over_30 > 0", 2)], 0)
+        - first_match([("over_20 > 0", 2)], 0)
+        - first_match([("over_10 > 0", 1)], 0)
+    )
+    return F.greatest(left, F.lit(0))
+
+
 # --- D2, D3 types and special values --------------------------------------------
 
 
-def type_shares(profiled: DataFrame) -> DataFrame:
-    """String columns with the shares of number-like and date-like values (over rows)."""
+def with_type_issues(profiled: DataFrame) -> DataFrame:
+    """Shares of number-like and date-like values (over rows) and the issue codes."""
+    text = F.expr("kind = 'string' AND n_non_missing > 0")
     return (
-        profiled.where("kind = 'string' AND n_non_missing > 0")
-        .withColumn("numeric_share", V.ratio(F.col("n_number_text"), F.col("n_non_missing")))
+        profiled.withColumn("numeric_share", V.ratio(F.col("n_number_text"), F.col("n_non_missing")))
         .withColumn("date_share", V.ratio(F.col("n_date_text"), F.col("n_non_missing")))
-        .withColumn("issues", matching_codes(TYPE_ISSUES))
+        .withColumn("issues", F.when(text, matching_codes(TYPE_ISSUES)).otherwise(F.array()))
     )
 
 
 def type_issues(profiled: DataFrame) -> DataFrame:
     """Suspect string columns and why."""
     return (
-        type_shares(profiled)
+        with_type_issues(profiled)
         .where("size(issues) > 0")
         .select(
             "pos",
@@ -223,46 +232,49 @@ def special_table(profiled: DataFrame) -> DataFrame:
 # --- D6, D7 structure and categories ---------------------------------------------
 
 
+N_FINITE = "(n_non_missing - n_pos_inf - n_neg_inf)"
+N_FINITE_UNIQUE = "(n_unique - CAST(n_pos_inf > 0 AS INT) - CAST(n_neg_inf > 0 AS INT))"
+STRUCTURE_PROBLEMS = [
+    ("excluded", "variable_type = 'excluded'"),
+    ("id_suspect", "variable_type = 'id'"),
+    # no variance: a single finite value seen more than once
+    ("zero_variance", f"variable_type = 'numeric' AND {N_FINITE} > 1 AND {N_FINITE_UNIQUE} = 1"),
+]
+
+
 def structure_problems(profiled: DataFrame) -> DataFrame:
     """One row per (column, reason): excluded, identifier, or a number without variance."""
-    finite = "n_non_missing - n_pos_inf - n_neg_inf"
-    finite_unique = (
-        "n_unique - CAST(n_pos_inf > 0 AS INT) - CAST(n_neg_inf > 0 AS INT)"
-    )
-    reasons = F.filter(
-        F.array(
-            F.when(F.expr("variable_type = 'excluded'"), F.lit("excluded")),
-            F.when(F.expr("variable_type = 'id'"), F.lit("id_suspect")),
-            # no variance = a single finite value seen more than once
-            F.when(
-                F.expr(f"variable_type = 'numeric' AND {finite} > 1 AND {finite_unique} = 1"),
-                F.lit("zero_variance"),
-            ),
-        ),
-        lambda x: x.isNotNull(),
+    return profiled.select(
+        "pos", "variable", F.explode(matching_codes(STRUCTURE_PROBLEMS)).alias("problem")
     )
-    return profiled.select("pos", "variable", F.explode(reasons).alias("problem"))
 
 
-def category_shares(profiled: DataFrame) -> DataFrame:
+def with_category_problems(profiled: DataFrame) -> DataFrame:
+    """Top share, values per row and the problem codes of categorical columns."""
+    categorical = F.col("variable_type").isin(*CATEGORY_TYPES)
     return (
-        profiled.where(F.col("variable_type").isin(*CATEGORY_TYPES))
-        .withColumn("top_share", V.ratio(F.col("max_count"), F.col("n_non_missing")))
+        profiled.withColumn("top_share", V.ratio(F.col("max_count"), F.col("n_non_missing")))
         .withColumn("unique_count", F.col("n_unique"))
         .withColumn("unique_rate", V.ratio(F.col("n_unique"), F.col("n_rows")))
-        .withColumn("problems", matching_codes(CATEGORY_PROBLEMS))
+        .withColumn(
+            "problems", F.when(categorical, matching_codes(CATEGORY_PROBLEMS)).otherwise(F.array())
+        )
     )
 
 
 def category_quality(profiled: DataFrame) -> DataFrame:
     """Every categorical column with its top share and the problems found."""
-    return category_shares(profiled).select(
-        "pos",
-        "variable",
-        V.percent(F.col("top_share")).alias("max_category_percent"),
-        "unique_count",
-        F.round("unique_rate", 4).alias("unique_rate"),
-        F.array_join("problems", "; ").alias("problem"),
+    return (
+        with_category_problems(profiled)
+        .where(F.col("variable_type").isin(*CATEGORY_TYPES))
+        .select(
+            "pos",
+            "variable",
+            V.percent(F.col("top_share")).alias("max_category_percent"),
+            "unique_count",
+            V.rounded(F.col("unique_rate"), 4).alias("unique_rate"),
+            F.array_join("problems", "; ").alias("problem"),
+        )
     )
 
 
@@ -317,6 +329,22 @@ def raw_missing_cells(df: DataFrame) -> DataFrame:
 # --- the assessment -----------------------------------------------------------------
 
 
+MEASURED = (
+    "pos variable kind variable_type n_rows n_missing n_non_missing n_unique max_count n_nan n_pos_inf "
+    "n_neg_inf n_number_text n_date_text has_date_hint"
+).split()
+MEASURED_SCHEMA = (
+    "pos int, variable string, kind string, variable_type string, n_rows bigint, n_missing bigint, "
+    "n_non_missing bigint, n_unique bigint, max_count bigint, n_nan bigint, n_pos_inf bigint, "
+    "n_neg_inf bigint, n_number_text bigint, n_date_text bigint, has_date_hint boolean, "
+    "outlier_count bigint"
+)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 @dataclass(frozen=True)
 class QualityReport:
     """All quality tables of one data set.  Built by :func:`assess_data_quality`."""
@@ -389,53 +417,50 @@ class QualityReport:
     @cached_property
     def measures(self) -> DataFrame:
         """One row with every figure the scores depend on."""
-        cols = self.profiled
         names = self.profile.frame.names
-        n_problem_names = sum(
-            1 for n in names if n is None or not n.strip() or names.count(n) > 1
+        repeated = sum(n is None or not n.strip() or names.count(n) > 1 for n in names)
+        rows, duplicates = self.duplicates
+        counts = {c.pos: self.outliers.counts.get(c.pos, 0) for c in self.outliers.columns}
+        per_column = local_table(
+            self.spark,
+            [
+                (*(getattr(c, n) for n in MEASURED), counts.get(c.pos))
+                for c in self.profile.columns
+            ],
+            MEASURED_SCHEMA,
         )
-        rows, dup = self.duplicates
-        outlier = self.outlier_table.agg(F.coalesce(F.avg("outlier_rate"), F.lit(0.0)).alias("x"))
-        mean_outlier_rate = outlier.first()["x"]
-        flagged = (
-            cols.join(
-                F.broadcast(type_shares(cols).where("size(issues) > 0").select("pos", F.lit(1).alias("type_issue"))),
-                "pos",
-                "left",
-            )
-            .join(
-                F.broadcast(structure_problems(cols).select("pos").distinct().withColumn("odd", F.lit(1))),
-                "pos",
-                "left",
-            )
-            .join(
-                F.broadcast(
-                    category_shares(cols).where("size(problems) > 0").select("pos", F.lit(1).alias("bad_category"))
-                ),
-                "pos",
-                "left",
-            )
-        )
-        missing = missing_score(self.missing).first()
-        return (
-            flagged.agg(
+        missing_rate = V.ratio(F.col("n_missing"), F.col("n_rows"))
+        outlier_rate = V.ratio(F.col("outlier_count"), F.expr(N_FINITE))
+        has_special = F.expr("n_nan + n_pos_inf + n_neg_inf > 0")
+        figures = (
+            with_category_problems(with_type_issues(per_column))
+            .agg(
                 F.count(F.lit(1)).alias("n_cols"),
-                F.count("type_issue").alias("n_type_issues"),
+                F.coalesce(F.sum("n_missing"), F.lit(0)).alias("total_missing"),
+                F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_cells"),
+                F.coalesce(F.max(V.rounded(missing_rate, 4)), F.lit(0.0)).alias("max_rate"),
+                F.count_if(missing_rate >= 0.10).alias("over_10"),
+                F.count_if(missing_rate >= 0.20).alias("over_20"),
+                F.count_if(missing_rate >= 0.30).alias("over_30"),
+                F.count_if(F.size("issues") > 0).alias("n_type_issues"),
                 F.count_if(F.expr("kind = 'numeric'")).alias("n_physical_numeric"),
-                F.count_if(F.expr("n_nan + n_pos_inf + n_neg_inf > 0")).alias("n_special"),
-                F.count("odd").alias("n_structure"),
+                F.count_if(has_special).alias("n_special"),
+                F.count_if(F.size(matching_codes(STRUCTURE_PROBLEMS)) > 0).alias("n_structure"),
                 F.count_if(F.col("variable_type").isin(*CATEGORY_TYPES)).alias("n_categorical"),
-                F.count("bad_category").alias("n_bad_categories"),
+                F.count_if(F.size("problems") > 0).alias("n_bad_categories"),
                 F.count_if(F.expr("variable_type = 'numeric'")).alias("n_numeric"),
                 F.count_if(F.expr("variable_type = 'date'")).alias("n_date"),
                 F.count_if(F.col("variable_type").isin(*ANALYZABLE_TYPES)).alias("n_analyzable"),
+                F.coalesce(
+                    F.avg(F.when(F.col("outlier_count").isNotNull(), V.rounded(outlier_rate, 4))),
+                    F.lit(0.0),
+                ).alias("mean_outlier_rate"),
             )
             .withColumn("n_rows", F.lit(self.profile.n_rows))
-            .withColumn("duplicate_count", F.lit(dup if rows > 1 else 0))
+            .withColumn("duplicate_count", F.lit(duplicates if rows > 1 else 0))
             .withColumn("duplicate_rate", V.ratio(F.col("duplicate_count"), F.col("n_rows")))
-            .withColumn("mean_outlier_rate", F.lit(float(mean_outlier_rate)))
-            .withColumn("missing_points", F.lit(missing["score"]))
-            .withColumn("n_name_problems", F.lit(n_problem_names))
+            .withColumn("n_name_problems", F.lit(repeated))
+            .withColumn("total_rate", V.ratio(F.col("total_missing"), F.col("total_cells")))
             .withColumn("type_rate", V.ratio(F.col("n_type_issues"), F.col("n_cols")))
             .withColumn("special_rate", V.ratio(F.col("n_special"), F.col("n_physical_numeric")))
             .withColumn("structure_rate", V.ratio(F.col("n_structure"), F.col("n_cols")))
@@ -444,8 +469,17 @@ class QualityReport:
                 "relaxed", F.expr("duplicate_count > 0 AND n_numeric = 0 AND n_categorical > 0")
             )
             .withColumn("force_danger", F.expr("n_rows = 0 OR n_cols = 0 OR n_analyzable = 0"))
+            .withColumn("missing_points", missing_total_points() + missing_pattern_points())
             .withColumn("raw_duplicate_points", band("duplicate_rate", "<", DUPLICATE, 0))
+            .withColumn(
+                "duplicate_points",
+                F.expr(
+                    "CASE WHEN relaxed THEN greatest(raw_duplicate_points, 12) ELSE raw_duplicate_points END"
+                ),
+            )
         )
+        # one row: kept as a local table so that no later rule starts a job of its own
+        return local_table(self.spark, [tuple(figures.first())], _ddl(figures))
 
     @cached_property
     def duplicate_table(self) -> DataFrame:
@@ -455,7 +489,7 @@ class QualityReport:
             "duplicate_count",
             V.percent(F.col("duplicate_rate")).alias("duplicate_percent"),
             F.col("raw_duplicate_points").alias("raw_score"),
-            F.expr("CASE WHEN relaxed THEN greatest(raw_duplicate_points, 12) ELSE raw_duplicate_points END").alias("score"),
+            F.col("duplicate_points").alias("score"),
             "relaxed",
         )
 
@@ -476,9 +510,7 @@ class QualityReport:
         points = {
             "missing": F.col("missing_points"),
             "type_format": band("type_rate", "<", TYPE_ISSUE, 0) + first_match(SPECIAL_VALUE, 0),
-            "duplicate": F.expr(
-                "CASE WHEN relaxed THEN greatest(raw_duplicate_points, 12) ELSE raw_duplicate_points END"
-            ),
+            "duplicate": F.col("duplicate_points"),
             "outlier": band("mean_outlier_rate", "<=", OUTLIER, 0),
             "structure": F.when(F.col("n_cols") == 0, F.lit(0)).otherwise(
                 band("structure_rate", "<", STRUCTURE, 0)
@@ -560,8 +592,8 @@ class QualityReport:
         )
         return (
             self.column_summary.join(F.broadcast(found), "pos", "left")
-            .withColumn("missing_percent", F.round("missing_percent", 1))
-            .withColumn("unique_percent", F.round(F.col("unique_rate") * 100, 1))
+            .withColumn("missing_percent", V.rounded(F.col("missing_percent"), 1))
+            .withColumn("unique_percent", V.rounded(F.col("unique_rate") * 100, 1))
             .withColumn(
                 "band",
                 first_match(

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import values as V
 from plumbline.functions.rules import first_match, matching_codes
 from plumbline.operators.local import local_table
 from plumbline.plans.labels import FIT_COLORS
@@ -79,7 +80,7 @@ class Readiness:
                 F.col("score").cast("double").alias("value"),
             ),
             self.summary.select(
-                F.lit("summary").alias("section"), "item", F.round("value", 4).alias("value")
+                F.lit("summary").alias("section"), "item", V.rounded(F.col("value"), 4).alias("value")
             ),
             self.messages.select(
                 F.col("kind").alias("section"), F.col("code").alias("item"), number.alias("value")
@@ -87,7 +88,7 @@ class Readiness:
             self.result.select(
                 F.lit("status").alias("section"),
                 F.col("status").alias("item"),
-                F.round("score", 4).alias("value"),
+                V.rounded(F.col("score"), 4).alias("value"),
             ),
         ]
         return reduce(DataFrame.unionByName, parts)
