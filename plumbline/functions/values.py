@@ -1,7 +1,7 @@
-"""Column expressions for single values: missing tokens, numbers and dates in text.
+"""Expressions over single values: missing tokens, numbers and dates in text.
 
-Everything here is a built-in Spark expression, so it stays inside whole-stage
-code generation.
+The text functions take and return SQL text, so that a whole parse is one expression;
+everything is built into Spark and stays inside whole-stage code generation.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.rules import literal
+
 # Strings (after trimming) that mean "missing", case-sensitive.
 MISSING_TOKENS = ["", "NA", "N/A", "na", "n/a", "null", "NULL", ".", "NaN", "-"]
 
-# Fixed value: characters removed at both ends of a string.
-BLANKS = " \t\r\n"
+# Fixed value: characters removed at both ends of a string (SQL escapes).
+BLANKS = [" ", r"\t", r"\r", r"\n"]
 
 NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 DATE_PATTERN = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
@@ -46,16 +48,20 @@ def is_floating(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
-def trimmed(c: Column) -> Column:
+def trimmed(x: str) -> str:
     """Blanks removed at both ends; long texts without any are passed through untouched."""
-    edge = F.left(c, F.lit(1)).isin(list(BLANKS)) | F.right(c, F.lit(1)).isin(list(BLANKS))
-    return F.when(edge, F.btrim(c, F.lit(BLANKS))).otherwise(c)
+    edge = ", ".join(f"'{c}'" for c in BLANKS)
+    return (
+        f"CASE WHEN left({x}, 1) IN ({edge}) OR right({x}, 1) IN ({edge}) "
+        f"THEN btrim({x}, '{''.join(BLANKS)}') ELSE {x} END"
+    )
 
 
-def text_or_null(c: Column) -> Column:
-    """Trim, then turn the missing tokens into NULL."""
-    t = trimmed(c)
-    return F.when(~t.isin(MISSING_TOKENS), t)
+def text_or_null(x: str, extra: list[str] = ()) -> str:
+    """Trim, then turn the missing tokens (and any extra ones) into NULL."""
+    tokens = ", ".join(literal(t) for t in [*MISSING_TOKENS, *extra])
+    t = trimmed(x)
+    return f"CASE WHEN ({t}) NOT IN ({tokens}) THEN {t} END"
 
 
 def is_missing(c: Column, dtype: T.DataType) -> Column:
@@ -75,72 +81,79 @@ def finite_double(c: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(c) & (F.abs(d) < F.lit(float("inf"))), d)
 
 
-def looks_numeric(t: Column) -> Column:
+def looks_numeric(x: str) -> str:
     """Does trimmed text hold a number?"""
-    return t.rlike(NUMBER_PATTERN)
+    return f"({x} RLIKE r'{NUMBER_PATTERN}')"
 
 
-def number_from_text(t: Column) -> Column:
+def number_from_text(x: str) -> str:
     """Number held in trimmed text, NULL when there is none."""
-    return F.when(looks_numeric(t), t.try_cast("double"))
+    return f"CASE WHEN {looks_numeric(x)} THEN try_cast({x} AS DOUBLE) END"
+
+
+def has_date_hint(x: str) -> str:
+    return f"({x} RLIKE r'{DATE_HINT_PATTERN}')"
 
 
-def _date(t: Column, pattern: str, target: str) -> Column:
-    return F.regexp_replace(t, pattern, target).try_cast("date")
+def _day(x: str, pattern: str, target: str) -> str:
+    return f"unix_date(try_cast(regexp_replace({x}, r'{pattern}', '{target}') AS DATE))"
 
 
-def seconds_from_text(t: Column) -> Column:
+def seconds_from_text(x: str) -> str:
     """Seconds since 1970-01-01 for trimmed date or date-time text, else NULL.
 
     Four-digit year, one- or two-digit month and day, the whole text must match;
     month/day/year is tried before day/month/year.
     """
     hour, minute, second = (
-        F.regexp_extract(t, DATETIME_PATTERN, g).try_cast("int") for g in (5, 6, 7)
+        f"try_cast(regexp_extract({x}, r'{DATETIME_PATTERN}', {g}) AS INT)" for g in (5, 6, 7)
     )
-    day = (
-        F.when(t.rlike(DATE_PATTERN), _date(t, DATE_PATTERN, "$1-$3-$4"))
-        .when(t.rlike(COMPACT_PATTERN), _date(t, COMPACT_PATTERN, "$1-$2-$3"))
-        .when(
-            t.rlike(SLASH_PATTERN),
-            F.coalesce(_date(t, SLASH_PATTERN, "$3-$1-$2"), _date(t, SLASH_PATTERN, "$3-$2-$1")),
-        )
-        .when(
-            t.rlike(DATETIME_PATTERN) & (hour <= 23) & (minute <= 59) & (second <= 59),
-            _date(t, DATETIME_PATTERN, "$1-$3-$4"),
-        )
+    clock = (
+        f"CASE WHEN {hour} <= 23 AND {minute} <= 59 AND {second} <= 59 "
+        f"THEN {hour} * 3600 + {minute} * 60 + {second} END"
+    )
+    day = SECONDS_PER_DAY
+    return (
+        f"CASE WHEN {x} RLIKE r'{DATE_PATTERN}' "
+        f"THEN {_day(x, DATE_PATTERN, '$1-$3-$4')} * {day}L "
+        f"WHEN {x} RLIKE r'{COMPACT_PATTERN}' "
+        f"THEN {_day(x, COMPACT_PATTERN, '$1-$2-$3')} * {day}L "
+        f"WHEN {x} RLIKE r'{SLASH_PATTERN}' "
+        f"THEN coalesce({_day(x, SLASH_PATTERN, '$3-$1-$2')}, {_day(x, SLASH_PATTERN, '$3-$2-$1')}) * {day}L "
+        f"WHEN {x} RLIKE r'{DATETIME_PATTERN}' "
+        f"THEN {_day(x, DATETIME_PATTERN, '$1-$3-$4')} * {day}L + {clock} END"
     )
-    clock = F.when(
-        t.rlike(DATETIME_PATTERN), hour * F.lit(3600) + minute * F.lit(60) + second
-    ).otherwise(F.lit(0))
-    return F.unix_date(day).cast("bigint") * F.lit(SECONDS_PER_DAY) + clock
 
 
-def looks_like_date(t: Column) -> Column:
-    return seconds_from_text(t).isNotNull()
+def looks_like_date(x: str) -> str:
+    return f"({seconds_from_text(x)}) IS NOT NULL"
 
 
-def seconds_from_compact_number(c: Column) -> Column:
-    """Seconds for a whole number written YYYYMMDD, else NULL."""
-    d = c.cast("double")
-    whole = (d == F.floor(d)) & (d >= F.lit(1e7)) & (d < F.lit(1e8))
-    text = F.when(whole, d).try_cast("bigint").cast("string")
-    day = _date(text, COMPACT_PATTERN, "$1-$2-$3")
-    return F.unix_date(day).cast("bigint") * F.lit(SECONDS_PER_DAY)
+def seconds_from_compact_number(x: str) -> str:
+    """Seconds for a whole number (a double) written YYYYMMDD, else NULL."""
+    text = f"CAST(CAST({x} AS BIGINT) AS STRING)"
+    return (
+        f"CASE WHEN {x} >= 1e7D AND {x} < 1e8D AND {x} = floor({x}) "
+        f"THEN {_day(text, COMPACT_PATTERN, '$1-$2-$3')} * {SECONDS_PER_DAY}L END"
+    )
 
 
-def seconds_from_timestamp(c: Column, dtype: T.DataType) -> Column:
-    """Seconds (with fraction) since 1970-01-01 for a date or timestamp column."""
-    if isinstance(dtype, T.DateType):
-        return (F.unix_date(c).cast("bigint") * F.lit(SECONDS_PER_DAY)).cast("double")
+def micros_text(x: str, dtype: T.DataType) -> str:
+    """Microseconds since 1970-01-01 of a timestamp, as SQL text."""
     if isinstance(dtype, T.TimestampNTZType):
         # no session time zone involved, so a clock change cannot merge two values
-        minutes = F.unix_date(c.cast("date")).cast("bigint") * F.lit(1440) + (
-            F.hour(c) * F.lit(60) + F.minute(c)
+        return (
+            f"((unix_date(CAST({x} AS DATE)) * 1440L + hour({x}) * 60 + minute({x})) * 60000000L "
+            f"+ CAST(extract(SECOND FROM {x}) * 1000000 AS BIGINT))"
         )
-        micros = (F.extract(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
-        return (minutes * F.lit(60_000_000) + micros).cast("double") / F.lit(1e6)
-    return F.unix_micros(c).cast("double") / F.lit(1e6)
+    return f"unix_micros({x})"
+
+
+def seconds_from_timestamp(x: str, dtype: T.DataType) -> Column:
+    """Seconds (with fraction) since 1970-01-01 for a date or timestamp column."""
+    if isinstance(dtype, T.DateType):
+        return F.expr(f"CAST(unix_date({x}) * {SECONDS_PER_DAY}L AS DOUBLE)")
+    return F.expr(f"CAST({micros_text(x, dtype)} AS DOUBLE) / 1e6D")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import values as V
+from plumbline.functions.rules import literal
 
 
 def _codes_as_numbers(codes: Sequence[object]) -> list[float]:
@@ -22,21 +23,19 @@ def _codes_as_numbers(codes: Sequence[object]) -> list[float]:
     return out
 
 
-def normalized(c: Column, dtype: T.DataType, codes: Sequence[object] | None = None) -> Column:
-    """One column with missing tokens (strings) and the caller's codes turned into NULL."""
+def normalized(x: str, dtype: T.DataType, codes: Sequence[object] | None = None) -> str:
+    """SQL text of one column with missing tokens (strings) and the caller's codes as NULL."""
     kind = V.kind_of(dtype)
+    labels = [str(code).strip() for code in codes or ()]
     if kind == "string":
-        c = V.text_or_null(c)
-    if not codes or kind == "nested":
-        return c
+        return V.text_or_null(x, labels)
+    if not labels or kind == "nested":
+        return x
     if kind == "numeric":
-        numbers = _codes_as_numbers(codes)
-        return F.when(~c.cast("double").isin(numbers), c) if numbers else c
-    text = c.cast("string")
-    if kind == "boolean":
-        text = F.upper(text)
-    labels = [str(code).strip() for code in codes]
-    return F.when(~V.trimmed(text).isin(labels), c)
+        numbers = ", ".join(f"{n!r}D" for n in _codes_as_numbers(codes))
+        return f"CASE WHEN CAST({x} AS DOUBLE) NOT IN ({numbers}) THEN {x} END" if numbers else x
+    text = f"upper(CAST({x} AS STRING))" if kind == "boolean" else f"CAST({x} AS STRING)"
+    return f"CASE WHEN {text} NOT IN ({', '.join(map(literal, labels))}) THEN {x} END"
 
 
 @dataclass(frozen=True)
@@ -98,7 +97,7 @@ def frame_of(df: DataFrame, codes: Sequence[object] | None = None) -> Frame:
     dtypes = tuple(f.dataType for f in df.schema.fields)
     renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
     cleaned = renamed.select(
-        *[normalized(F.col(f"c{i}"), t, codes).alias(f"c{i}") for i, t in enumerate(dtypes)]
+        *[F.expr(normalized(f"c{i}", t, codes)).alias(f"c{i}") for i, t in enumerate(dtypes)]
     )
     return Frame(cleaned, names, dtypes)
 

@@ -65,7 +65,7 @@ def duplicate_positions(
     view = df.toDF(*[f"x{i}" for i in range(len(names))])
     dtypes = [df.schema.fields[names.index(n)].dataType for n in compare]
     cells = [
-        normalized(F.col(f"x{names.index(n)}"), t, user_missing_codes).alias(f"c{i}")
+        F.expr(normalized(f"x{names.index(n)}", t, user_missing_codes)).alias(f"c{i}")
         for i, (n, t) in enumerate(zip(compare, dtypes))
     ]
     key = F.struct(*[F.col(f"x{names.index(n)}").alias(f"k{i}") for i, n in enumerate(order_by)])

@@ -71,11 +71,11 @@ def time_value(frame: Frame, column: Column_) -> tuple[Column, bool]:
     """
     c, dtype, kind = frame.col(column.pos), frame.dtypes[column.pos], column.kind
     if kind in ("date", "timestamp"):
-        return V.seconds_from_timestamp(c, dtype), True
+        return V.seconds_from_timestamp(f"c{column.pos}", dtype), True
     if kind == "string":
-        return V.seconds_from_text(c).cast("double"), True
+        return F.expr(V.seconds_from_text(f"c{column.pos}")).cast("double"), True
     if kind == "numeric" and column.is_time_candidate:
-        return V.seconds_from_compact_number(c).cast("double"), True
+        return F.expr(V.seconds_from_compact_number(f"CAST(c{column.pos} AS DOUBLE)")).cast("double"), True
     if kind == "numeric":
         return F.when(frame.present(column.pos), c.cast("double")), False
     return F.lit(None).cast("double"), False

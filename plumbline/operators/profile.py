@@ -20,18 +20,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import values as V
-from plumbline.functions.rules import first_match
+from plumbline.functions.rules import case_text
 from plumbline.operators.clean import Frame, frame_of
 from plumbline.operators.local import local_table
+from plumbline.operators.scans import COLUMNS_PER_SCAN, columns_per_scan, input_files
 
 SHORT_TEXT = 64
-# stacked columns per scan, so that generated code stays small on very wide tables
-COLUMNS_PER_SCAN = 64
 ROW_FORMATS = re.compile(r"\.(csv|tsv|txt|json|jsonl)(\.\w+)?$", re.IGNORECASE)
 
 # Fixed value: token test for identifier-like column names.
@@ -59,22 +58,20 @@ def is_id_like_name(name: str | None) -> bool:
 # --- value counts -----------------------------------------------------------
 
 
-def _text_key(c: Column) -> Column:
-    return F.when(F.length(c) <= SHORT_TEXT, c).otherwise(F.concat(F.lit("#"), F.sha2(c, 256)))
+def _text_key(x: str) -> str:
+    return f"CASE WHEN length({x}) <= {SHORT_TEXT} THEN {x} ELSE concat('#', sha2({x}, 256)) END"
 
 
-def _long_text_flags(c: Column) -> Column:
+def _long_text_flags(x: str) -> str:
     """What has to be known of a long text besides its digest.
 
     Bit 1: a number, bit 2: a date hint somewhere in the text.  The flags follow from
     the text, so adding them to the key changes no group.
     """
-    none = F.lit(0)
-    return F.when(
-        F.length(c) > SHORT_TEXT,
-        F.when(V.looks_numeric(c), F.lit(1)).otherwise(none)
-        + F.when(c.rlike(V.DATE_HINT_PATTERN), F.lit(2)).otherwise(none),
-    ).otherwise(none)
+    return (
+        f"CASE WHEN length({x}) > {SHORT_TEXT} THEN if({V.looks_numeric(x)}, 1, 0) "
+        f"+ if({V.has_date_hint(x)}, 2, 0) ELSE 0 END"
+    )
 
 
 def _shape(frame: Frame, p: int) -> str:
@@ -86,15 +83,15 @@ def _shape(frame: Frame, p: int) -> str:
     return "real" if V.is_floating(dtype) else "whole"
 
 
-def _whole_key(frame: Frame, p: int) -> Column:
-    c, kind, dtype = frame.col(p), frame.kinds[p], frame.dtypes[p]
+def _whole_key(frame: Frame, p: int) -> str:
+    x, kind, dtype = f"c{p}", frame.kinds[p], frame.dtypes[p]
     if kind == "timestamp":
-        return F.round(V.seconds_from_timestamp(c, dtype) * F.lit(1e6)).cast("bigint")
+        return V.micros_text(x, dtype)
     if kind == "date":
-        return F.unix_date(c).cast("bigint")
+        return f"CAST(unix_date({x}) AS BIGINT)"
     if kind == "boolean":
-        return c.cast("int").cast("bigint")
-    return c.cast("bigint")
+        return f"CAST(CAST({x} AS INT) AS BIGINT)"
+    return f"CAST({x} AS BIGINT)"
 
 
 def _stacked_stats(frame: Frame, positions: Sequence[int]) -> DataFrame:
@@ -102,87 +99,88 @@ def _stacked_stats(frame: Frame, positions: Sequence[int]) -> DataFrame:
     shapes = {p: _shape(frame, p) for p in positions}
     used = [s for s in ("whole", "real", "text") if s in shapes.values()]
     keys = used + (["f"] if "text" in used else [])
-    empty = {"whole": "bigint", "real": "double", "text": "string"}
-    cells: list[Column] = []
+    empty = {"whole": "BIGINT", "real": "DOUBLE", "text": "STRING"}
+    cells: list[str] = []
     for p in positions:
-        c = frame.col(p)
-        text = frame.kinds[p] == "string"
+        x, word = f"c{p}", frame.kinds[p] == "string"
         filled = {
-            "whole": lambda p=p: _whole_key(frame, p),
-            "real": lambda c=c: c.cast("double"),
-            "text": lambda c=c, text=text: _text_key(c) if text else c.cast("string"),
+            "whole": _whole_key(frame, p) if shapes[p] == "whole" else "",
+            "real": f"CAST({x} AS DOUBLE)",
+            "text": _text_key(x) if word else f"CAST({x} AS STRING)",
         }
-        cells.append(F.lit(p))
-        cells += [filled[s]() if shapes[p] == s else F.lit(None).cast(empty[s]) for s in used]
+        cells.append(str(p))
+        cells += [filled[s] if shapes[p] == s else f"CAST(NULL AS {empty[s]})" for s in used]
         if "text" in used:
-            cells.append(_long_text_flags(c) if text else F.lit(0))
-    counted = (
-        frame.df.select(F.stack(F.lit(len(positions)), *cells).alias("pos", *keys))
+            cells.append(_long_text_flags(x) if word else "0")
+    stacked = f"stack({len(positions)}, {', '.join(cells)}) AS (pos, {', '.join(keys)})"
+    return (
+        frame.df.selectExpr(stacked)
         .groupBy("pos", *keys)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(F.expr("count(1) AS cnt"))
+        .groupBy("pos")
+        .agg(*[F.expr(f"{body} AS {name}") for name, body in _fold(frame, positions, used).items()])
     )
-    return counted.groupBy("pos").agg(*_fold(frame, positions, used))
 
 
-def _fold(frame: Frame, positions: Sequence[int], used: Sequence[str]) -> list[Column]:
+def _fold(frame: Frame, positions: Sequence[int], used: Sequence[str]) -> dict[str, str]:
     """Aggregates over (pos, value, count) rows that make up one profile row."""
-    cnt, zero, no = F.col("cnt"), F.lit(0).cast("bigint"), F.lit(False)
-
-    def members(*kinds: str) -> Column:
-        return F.col("pos").isin([p for p in positions if frame.kinds[p] in kinds])
-
-    def total(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, cnt)), zero)
 
-    here, number = no, F.lit(None).cast("double")
-    nan = pos_inf = neg_inf = number_text = date_text = zero
-    hint, dated_share = no, no
-    if "whole" in used:
-        here = here | F.col("whole").isNotNull()
-        number = F.coalesce(number, F.col("whole").cast("double"))
+    def members(*kinds: str) -> str:
+        chosen = [str(p) for p in positions if frame.kinds[p] in kinds]
+        if len(chosen) == len(positions):
+            return "true"
+        return f"pos IN ({', '.join(chosen)})" if chosen else "false"
+
+    def total(test: str) -> str:
+        return f"coalesce(sum(cnt) FILTER (WHERE {test}), 0L)"
+
+    tests = {"whole": "whole IS NOT NULL", "real": "(real IS NOT NULL AND NOT isnan(real))"}
+    tests["text"] = "text IS NOT NULL"
+    numbers = {"whole": "CAST(whole AS DOUBLE)", "real": "real", "text": "try_cast(text AS DOUBLE)"}
+    here = "(" + " OR ".join(tests[s] for s in used) + ")"
+    number = numbers[used[0]] if len(used) == 1 else f"coalesce({', '.join(numbers[s] for s in used)})"
+    out = {
+        "n_rows": "coalesce(sum(cnt), 0L)",
+        "n_missing": total(f"NOT {here}"),
+        "n_non_missing": total(here),
+        "n_unique": f"count(1) FILTER (WHERE {here})",
+        "max_count": f"coalesce(max(cnt) FILTER (WHERE {here}), 0L)",
+        "min_count": f"coalesce(min(cnt) FILTER (WHERE {here}), 0L)",
+        "n_nan": "0L",
+        "n_pos_inf": "0L",
+        "n_neg_inf": "0L",
+        "n_number_text": "0L",
+        "n_date_text": "0L",
+        "has_date_hint": "false",
+    }
+    dates = []
     if "real" in used:
-        real = F.col("real")
-        here = here | (real.isNotNull() & ~F.isnan(real))
-        number = F.coalesce(number, real)
-        nan = total(F.isnan(real))
-        pos_inf = total(real == F.lit(float("inf")))
-        neg_inf = total(real == F.lit(float("-inf")))
+        out["n_nan"] = total("isnan(real)")
+        out["n_pos_inf"] = total("real = CAST('Infinity' AS DOUBLE)")
+        out["n_neg_inf"] = total("real = CAST('-Infinity' AS DOUBLE)")
     if "text" in used:
-        text, flags = F.col("text"), F.col("f")
-        here = here | text.isNotNull()
-        number = F.coalesce(number, text.try_cast("double"))
         words = members("string")
-        short = words & (F.length(text) <= SHORT_TEXT)
-        dated = F.coalesce(short & V.looks_like_date(text), no)
-        number_text = total((short & V.looks_numeric(text)) | flags.isin(1, 3))
-        date_text = total(dated)
-        hint = F.coalesce(
-            F.bool_or((short & text.rlike(V.DATE_HINT_PATTERN)) | (flags >= 2)), no
+        short = f"{words} AND length(text) <= {SHORT_TEXT}"
+        dated = f"({short} AND {V.looks_like_date('text')})"
+        out["n_number_text"] = total(f"({short} AND {V.looks_numeric('text')}) OR f IN (1, 3)")
+        out["n_date_text"] = total(dated)
+        out["has_date_hint"] = (
+            f"coalesce(bool_or(({short} AND {V.has_date_hint('text')}) OR f >= 2), false)"
         )
         # this share is over distinct values, not rows
-        dated_share = F.coalesce(
-            F.avg(F.when(words & here, dated.cast("double"))) >= F.lit(0.90), no
+        dates.append(
+            f"coalesce(count(1) FILTER (WHERE {dated}) >= 0.90D * "
+            f"nullif(count(1) FILTER (WHERE {words} AND text IS NOT NULL), 0), false)"
         )
-    clocks = F.coalesce(F.bool_or(members("date", "timestamp")), no)
-    compact = no
+    if any(frame.kinds[p] in ("date", "timestamp") for p in positions):
+        dates.append(f"coalesce(bool_or({members('date', 'timestamp')}), false)")
     if any(frame.kinds[p] == "numeric" for p in positions):
-        is_compact = V.seconds_from_compact_number(number).isNotNull()
-        compact = F.coalesce(F.bool_and(F.when(members("numeric") & here, is_compact)), no)
-    return [
-        F.coalesce(F.sum(cnt), zero).alias("n_rows"),
-        total(~here).alias("n_missing"),
-        total(here).alias("n_non_missing"),
-        F.count(F.when(here, F.lit(1))).alias("n_unique"),
-        F.coalesce(F.max(F.when(here, cnt)), zero).alias("max_count"),
-        F.coalesce(F.min(F.when(here, cnt)), zero).alias("min_count"),
-        nan.alias("n_nan"),
-        pos_inf.alias("n_pos_inf"),
-        neg_inf.alias("n_neg_inf"),
-        number_text.alias("n_number_text"),
-        date_text.alias("n_date_text"),
-        hint.alias("has_date_hint"),
-        (clocks | dated_share | compact).alias("is_date"),
-    ]
+        compact = f"({V.seconds_from_compact_number(number)}) IS NOT NULL"
+        dates.append(
+            f"coalesce(bool_and({compact}) FILTER (WHERE {members('numeric')} AND {here}), false)"
+        )
+    out["is_date"] = "(" + " OR ".join(dates or ["false"]) + ")"
+    return out
 
 
 def _nested_stats(frame: Frame, p: int) -> DataFrame:
@@ -205,18 +203,12 @@ def _nested_stats(frame: Frame, p: int) -> DataFrame:
     )
 
 
-def _reads_row_format(df: DataFrame) -> bool:
-    try:
-        files = df.inputFiles()
-    except Exception:  # streaming or in-memory inputs have no file list
-        return False
-    return any(ROW_FORMATS.search(f) for f in files[:1])
-
-
 def column_stats(frame: Frame, single_pass: bool | None = None) -> DataFrame:
     """One row per column with counts over its rows and its distinct values."""
+    files = input_files(frame.df)
     if single_pass is None:
-        single_pass = _reads_row_format(frame.df)
+        single_pass = any(ROW_FORMATS.search(f) for f in files[:1])
+    step = COLUMNS_PER_SCAN if single_pass else columns_per_scan(frame.df, frame.width, files)
     groups: dict[str, list[int]] = {}
     for p in range(frame.width):
         shape = _shape(frame, p)
@@ -224,8 +216,8 @@ def column_stats(frame: Frame, single_pass: bool | None = None) -> DataFrame:
     parts = [_nested_stats(frame, p) for p in groups.pop("nested", [])]
     for members in groups.values():
         parts += [
-            _stacked_stats(frame, members[i : i + COLUMNS_PER_SCAN])
-            for i in range(0, len(members), COLUMNS_PER_SCAN)
+            _stacked_stats(frame, members[i : i + step])
+            for i in range(0, len(members), step)
         ]
     if not parts:
         return local_table(frame.df.sparkSession, [], STATS_SCHEMA)
@@ -266,25 +258,31 @@ def _names_table(frame: Frame) -> DataFrame:
 def typed_profile(frame: Frame, mode: str = "full", single_pass: bool | None = None) -> DataFrame:
     """Column statistics with the analytic variable type decided per column."""
     rules, default = (TYPE_RULES, "other") if mode == "full" else (SIMPLE_TYPE_RULES, "categorical")
-    stats = column_stats(frame, single_pass)
-    zero_if_absent = [
-        F.col(c)
-        if c in ("pos", "n_unique", "has_date_hint", "is_date")
-        else F.coalesce(F.col(c), F.lit(0)).alias(c)
-        for c in stats.columns
+    counts = [
+        f"coalesce({n}, 0L) AS {n}"
+        for n in (
+            "n_rows n_missing n_non_missing max_count min_count n_nan n_pos_inf n_neg_inf "
+            "n_number_text n_date_text"
+        ).split()
     ]
+    names = T.StructType.fromDDL(TYPES_SCHEMA).names
+    # one row per column on either side, so the broadcast is bounded by the schema
     return (
-        # one row per column on either side, so the broadcast is bounded by the schema
         _names_table(frame)
-        .join(F.broadcast(stats.withColumn("seen", F.lit(True))), "pos", "left")
-        .withColumn("is_date", F.coalesce("is_date", F.lit(False)))
-        .withColumn("has_date_hint", F.coalesce("has_date_hint", F.lit(False)))
-        .withColumn("n_unique", F.when(F.col("seen"), F.col("n_unique")).otherwise(F.lit(0)))
-        .select("variable", "physical_type", "kind", "id_like_name", *zero_if_absent)
-        .withColumnRenamed("is_date", "is_time_candidate")
-        .withColumn("unique_ratio", V.ratio(F.col("n_unique"), F.col("n_non_missing")))
-        .withColumn("variable_type", first_match(rules, default))
-        .select(*T.StructType.fromDDL(TYPES_SCHEMA).names)
+        .join(F.broadcast(column_stats(frame, single_pass)), "pos", "left")
+        .selectExpr(
+            "pos",
+            "variable",
+            "physical_type",
+            "kind",
+            "id_like_name",
+            *counts,
+            "if(n_rows IS NULL, 0L, n_unique) AS n_unique",
+            "coalesce(has_date_hint, false) AS has_date_hint",
+            "coalesce(is_date, false) AS is_time_candidate",
+            "CASE WHEN n_non_missing > 0 THEN n_unique / n_non_missing ELSE 0D END AS unique_ratio",
+        )
+        .selectExpr(*names[:-1], f"{case_text(rules, default)} AS variable_type")
     )
 
 

@@ -8,7 +8,7 @@ hold for columns with billions of values.  Here each quantile is bracketed inste
 3. steps 1-2 repeat on the bracket until it holds at most ``limit`` rows,
 4. the order statistics are read from the few rows left.
 
-Every step is one wide aggregate per group of columns; what reaches the driver is a
+Every step is one query of wide aggregates; what reaches the driver is a
 handful of numbers per column, and a value repeated billions of times ends the search
 at once because both ends of its bracket are that value.
 """
@@ -18,10 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.scans import columns_per_scan, input_files
+
 BRACKET_ROWS = 100_000
 ACCURACY = 10_000
 COLUMNS_PER_JOB = 40
@@ -45,19 +48,37 @@ class _Search:
     def next_rank(self) -> int:
         return min(self.rank + 1, self.last)
 
-    def column(self) -> Column:
-        c = F.col(self.name)
-        if self.lo is None:
-            return c
-        return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
+    def percentiles(self, wanted: Sequence[float], accuracy: int) -> Column:
+        """Sketch quantiles of the values inside the bracket."""
+        x = f"`{self.name}`"
+        if self.lo is not None:
+            x = f"CASE WHEN {x} >= {self.lo!r}D AND {x} <= {self.hi!r}D THEN {x} END"
+        return F.expr(f"percentile_approx({x}, array({', '.join(f'{w!r}D' for w in wanted)}), {accuracy})")
+
 
+def _wide(df: DataFrame, exprs: Sequence[tuple[str, Column]], step: int) -> list[list[float]]:
+    """Evaluate ``(column, aggregate giving array<double>)`` pairs in one query.
 
-def _wide(df: DataFrame, exprs: Sequence[Column], step: int) -> list:
-    """Evaluate many aggregates, a bounded number per job."""
-    out: list = []
-    for i in range(0, len(exprs), step):
-        row = df.agg(*[e.alias(f"a{j}") for j, e in enumerate(exprs[i : i + step])]).first()
-        out += list(row)
+    Aggregates are spread over branches by column, ``step`` columns per branch; every
+    branch reads only its own columns and the branches run side by side.
+    """
+    if not exprs:
+        return []
+    order = list(dict.fromkeys(name for name, _ in exprs))
+    branch_of = {name: i // step for i, name in enumerate(order)}
+    branches: dict[int, list[int]] = {}
+    for i, (name, _) in enumerate(exprs):
+        branches.setdefault(branch_of[name], []).append(i)
+    parts = [
+        df.agg(F.array(*[exprs[i][1] for i in members]).alias("found")).select(
+            F.lit(b).alias("branch"), "found"
+        )
+        for b, members in branches.items()
+    ]
+    out: list[list[float]] = [[] for _ in exprs]
+    for row in reduce(DataFrame.unionByName, parts).collect():
+        for i, found in zip(branches[row["branch"]], row["found"]):
+            out[i] = found
     return out
 
 
@@ -75,11 +96,7 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int, accuracy: int, s
                 pad = s.slack / accuracy
                 for r, shift in ((s.rank, -pad), (s.next_rank, pad)):
                     wanted.append(min(max((r - s.below + 0.5) / s.inside + shift, 0.0), 1.0))
-            asks.append(
-                F.percentile_approx(
-                    group[0].column(), F.array(*[F.lit(w) for w in wanted]), F.lit(accuracy)
-                )
-            )
+            asks.append((group[0].name, group[0].percentiles(wanted, accuracy)))
         brackets = {}
         for group, found in zip(shared.values(), _wide(df, asks, step)):
             for i, s in enumerate(group):
@@ -87,11 +104,12 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int, accuracy: int, s
         counts = []
         for s in open_:
             c, (lo, hi) = F.col(s.name), brackets[id(s)]
-            counts += [F.count_if(c < F.lit(lo)), F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi)))]
-        counted = _wide(df, counts, 2 * step)
+            tests = (c < F.lit(lo), (c >= F.lit(lo)) & (c <= F.lit(hi)))
+            counts.append((s.name, F.array(*[F.count_if(t).cast("double") for t in tests])))
+        counted = _wide(df, counts, step)
         for i, s in enumerate(open_):
             lo, hi = brackets[id(s)]
-            below, inside = counted[2 * i], counted[2 * i + 1]
+            below, inside = int(counted[i][0]), int(counted[i][1])
             proven = below <= s.rank and s.next_rank < below + inside
             if proven and (inside < s.inside or lo == hi):
                 s.lo, s.hi, s.below, s.inside = lo, hi, below, inside
@@ -107,24 +125,23 @@ def order_statistics(
     ranks: Sequence[tuple[str, int, int]],
     limit: int = BRACKET_ROWS,
     accuracy: int = ACCURACY,
-    columns_per_job: int = COLUMNS_PER_JOB,
+    columns_per_job: int | None = None,
 ) -> list[tuple[float, float]]:
     """Exact values at (rank, rank + 1) for each ``(double column, rank, row count)``.
 
     NULLs are ignored; row count is the number of non-NULL values of the column.
     """
     searches = [_Search(name, rank, n - 1, inside=n) for name, rank, n in ranks]
+    if columns_per_job is None:
+        names = {name for name, _, _ in ranks}
+        columns_per_job = min(COLUMNS_PER_JOB, columns_per_scan(df, len(names), input_files(df)))
     _narrow(df, searches, limit, accuracy, columns_per_job)
     left = [s for s in searches if s.found is None]
     asks = []
     for s in left:
         # at this accuracy the sketch keeps every one of the few rows of the bracket
         wanted = [(r - s.below + 0.5) / s.inside for r in (s.rank, s.next_rank)]
-        asks.append(
-            F.percentile_approx(
-                s.column(), F.array(*[F.lit(w) for w in wanted]), F.lit(4 * max(s.inside, 2_500))
-            )
-        )
+        asks.append((s.name, s.percentiles(wanted, 4 * max(s.inside, 2_500))))
     for s, pair in zip(left, _wide(df, asks, columns_per_job)):
         s.found = (pair[0], pair[1])
     return [s.found for s in searches]

@@ -131,6 +131,35 @@ CHECKS: dict[str, Callable[[Profile, Mapping[str, object]], Readiness]] = {
 }
 
 
+def _needed(purpose: str, roles: Mapping[str, object], columns: Sequence[str]) -> list[str]:
+    """Columns a purpose looks at; the others need no profile.  All when none are chosen."""
+    chosen: list[str] = []
+    if purpose in ("basic_stats", "visualization"):
+        chosen = columns_for(roles, VARIABLES)
+    elif purpose in ("regression", "classification"):
+        wanted = columns_for(roles, PREDICTORS)
+        response = columns_for(roles, CLASS_RESPONSE if purpose == "classification" else RESPONSE)[:1]
+        chosen = wanted and wanted + response
+    elif purpose == "cluster":
+        chosen = columns_for(roles, CLUSTER)
+    elif purpose == "time_series":
+        chosen = columns_for(roles, TIME)[:1] + columns_for(roles, SERIES)
+    elif purpose == "survival":
+        chosen = columns_for(roles, SURVIVAL_TIME)[:1] + columns_for(roles, EVENT)[:1]
+        chosen += columns_for(roles, COVARIATES)
+    kept = [c for c in columns if c in chosen]
+    return kept or list(columns)
+
+
+def _profile_for(df: DataFrame, purpose: str, roles: Mapping[str, object]) -> Profile:
+    names = df.columns
+    needed = _needed(purpose, roles, names)
+    if len(needed) == len(names) or len(set(names)) < len(names):
+        return profile(df)
+    view = df.toDF(*[f"x{i}" for i in range(len(names))])
+    return profile(view.select(*[F.col(f"x{names.index(n)}").alias(n) for n in needed]))
+
+
 def evaluate_readiness(
     data: DataFrame | Profile | None,
     purpose: str | None,
@@ -152,8 +181,9 @@ def evaluate_readiness(
     if purpose not in CHECKS:
         return _plain(session, purpose, "unselected", "secondary", None, "unknown_purpose")
     try:
-        profiled = data if isinstance(data, Profile) else profile(data)
-        return CHECKS[purpose](profiled, dict(roles or {}))
+        chosen = dict(roles or {})
+        profiled = data if isinstance(data, Profile) else _profile_for(data, purpose, chosen)
+        return CHECKS[purpose](profiled, chosen)
     except Exception as error:  # the caller gets a verdict, not a stack trace
         return _plain(session, purpose, "unfit", "danger", 0.0, f"error: {error}")
 

@@ -107,7 +107,7 @@ def duration(profile: Profile, column: Column_) -> Column:
     if column.kind == "numeric":
         return F.when(profile.frame.present(column.pos), c.cast("double"))
     if column.kind == "string":
-        return V.number_from_text(c)
+        return F.expr(V.number_from_text(f"c{column.pos}"))
     return F.lit(None).cast("double")
 
 
