@@ -1,16 +1,18 @@
-"""Exact order statistics and quartile fences for many columns at once.
+"""Exact order statistics and quantiles for many columns at once.
 
 ``percentile`` keeps every distinct value of a group in one task, which does not
-hold for columns with billions of values.  Here each quantile is bracketed instead:
+hold for columns with billions of values.  Here each wanted rank is bracketed instead:
 
 1. ``percentile_approx`` gives a value just below and just above the wanted rank,
-2. exact counts prove that the rank lies inside that bracket (else it is widened),
+2. exact counts below, at and between the two values tell whether the rank is one of
+   the two values (found), lies strictly between them (the new bracket), or was missed
+   (the next try is wider),
 3. steps 1-2 repeat on the bracket until it holds at most ``limit`` rows,
 4. the order statistics are read from the few rows left.
 
-Every step is one query of wide aggregates; what reaches the driver is a
-handful of numbers per column, and a value repeated billions of times ends the search
-at once because both ends of its bracket are that value.
+A bracket always loses its two ends, so the search ends, and a value repeated billions
+of times ends it at once.  Every step is one query of wide aggregates; what reaches the
+driver is a handful of numbers per column.
 """
 
 from __future__ import annotations
@@ -32,29 +34,38 @@ COLUMNS_PER_JOB = 40
 
 @dataclass
 class _Search:
-    """One wanted order statistic pair (rank, rank + 1), counted from 0."""
+    """One wanted order statistic (rank counted from 0) inside the open bracket (lo, hi)."""
 
     name: str
     rank: int
-    last: int
+    inside: int
     lo: float | None = None
     hi: float | None = None
     below: int = 0
-    inside: int = 0
     slack: float = 2.0
-    found: tuple[float, float] | None = None
-
-    @property
-    def next_rank(self) -> int:
-        return min(self.rank + 1, self.last)
+    found: float | None = None
 
     def percentiles(self, wanted: Sequence[float], accuracy: int) -> Column:
         """Sketch quantiles of the values inside the bracket."""
         x = f"`{self.name}`"
         if self.lo is not None:
-            x = f"CASE WHEN {x} >= {self.lo!r}D AND {x} <= {self.hi!r}D THEN {x} END"
+            x = f"CASE WHEN {x} > {self.lo!r}D AND {x} < {self.hi!r}D THEN {x} END"
         return F.expr(f"percentile_approx({x}, array({', '.join(f'{w!r}D' for w in wanted)}), {accuracy})")
 
+    def settle(self, lo: float, hi: float, counts: Sequence[float]) -> None:
+        """Use the exact counts of the column below lo, at lo, between and at hi."""
+        below, at_lo, between, at_hi = (int(c) for c in counts)
+        if lo == hi:
+            at_hi = 0
+        if not below <= self.rank < below + at_lo + between + at_hi:
+            self.slack *= 4.0
+        elif self.rank < below + at_lo:
+            self.found = lo
+        elif self.rank >= below + at_lo + between:
+            self.found = hi
+        else:
+            self.lo, self.hi, self.below, self.inside = lo, hi, below + at_lo, between
+
 
 def _wide(df: DataFrame, exprs: Sequence[tuple[str, Column]], step: int) -> list[list[float]]:
     """Evaluate ``(column, aggregate giving array<double>)`` pairs in one query.
@@ -93,30 +104,23 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int, accuracy: int, s
         for group in shared.values():
             wanted = []
             for s in group:
-                pad = s.slack / accuracy
-                for r, shift in ((s.rank, -pad), (s.next_rank, pad)):
-                    wanted.append(min(max((r - s.below + 0.5) / s.inside + shift, 0.0), 1.0))
+                spot, pad = (s.rank - s.below + 0.5) / s.inside, s.slack / accuracy
+                wanted += [max(spot - pad, 0.0), min(spot + pad, 1.0)]
             asks.append((group[0].name, group[0].percentiles(wanted, accuracy)))
-        brackets = {}
+        ends = {}
         for group, found in zip(shared.values(), _wide(df, asks, step)):
             for i, s in enumerate(group):
-                brackets[id(s)] = (found[2 * i], found[2 * i + 1])
+                ends[id(s)] = (found[2 * i], found[2 * i + 1])
         counts = []
         for s in open_:
-            c, (lo, hi) = F.col(s.name), brackets[id(s)]
-            tests = (c < F.lit(lo), (c >= F.lit(lo)) & (c <= F.lit(hi)))
-            counts.append((s.name, F.array(*[F.count_if(t).cast("double") for t in tests])))
-        counted = _wide(df, counts, step)
-        for i, s in enumerate(open_):
-            lo, hi = brackets[id(s)]
-            below, inside = int(counted[i][0]), int(counted[i][1])
-            proven = below <= s.rank and s.next_rank < below + inside
-            if proven and (inside < s.inside or lo == hi):
-                s.lo, s.hi, s.below, s.inside = lo, hi, below, inside
-                if lo == hi:
-                    s.found = (lo, lo)
-            else:
-                s.slack *= 4.0
+            x, (lo, hi) = f"`{s.name}`", ends[id(s)]
+            lo_text, hi_text = f"{lo!r}D", f"{hi!r}D"
+            tests = (f"{x} < {lo_text}", f"{x} = {lo_text}")
+            tests += (f"{x} > {lo_text} AND {x} < {hi_text}", f"{x} = {hi_text}")
+            cells = ", ".join(f"CAST(count_if({t}) AS DOUBLE)" for t in tests)
+            counts.append((s.name, F.expr(f"array({cells})")))
+        for s, counted in zip(open_, _wide(df, counts, step)):
+            s.settle(*ends[id(s)], counted)
         open_ = [s for s in searches if s.found is None and s.inside > limit]
 
 
@@ -126,25 +130,36 @@ def order_statistics(
     limit: int = BRACKET_ROWS,
     accuracy: int = ACCURACY,
     columns_per_job: int | None = None,
-) -> list[tuple[float, float]]:
-    """Exact values at (rank, rank + 1) for each ``(double column, rank, row count)``.
+) -> list[float]:
+    """Exact value at each ``(double column, rank, row count)``, ranks from 0.
 
     NULLs are ignored; row count is the number of non-NULL values of the column.
     """
-    searches = [_Search(name, rank, n - 1, inside=n) for name, rank, n in ranks]
+    wanted = list(dict.fromkeys(ranks))
+    searches = [_Search(name, rank, n) for name, rank, n in wanted]
     if columns_per_job is None:
         names = {name for name, _, _ in ranks}
         columns_per_job = min(COLUMNS_PER_JOB, columns_per_scan(df, len(names), input_files(df)))
     _narrow(df, searches, limit, accuracy, columns_per_job)
-    left = [s for s in searches if s.found is None]
-    asks = []
-    for s in left:
-        # at this accuracy the sketch keeps every one of the few rows of the bracket
-        wanted = [(r - s.below + 0.5) / s.inside for r in (s.rank, s.next_rank)]
-        asks.append((s.name, s.percentiles(wanted, 4 * max(s.inside, 2_500))))
-    for s, pair in zip(left, _wide(df, asks, columns_per_job)):
-        s.found = (pair[0], pair[1])
-    return [s.found for s in searches]
+    rest: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        if s.found is None:
+            rest.setdefault((s.name, s.lo, s.hi), []).append(s)
+    # at this accuracy the sketch keeps every one of the few rows of the bracket
+    asks = [
+        (
+            group[0].name,
+            group[0].percentiles(
+                [(s.rank - s.below + 0.5) / s.inside for s in group], 4 * max(group[0].inside, 2_500)
+            ),
+        )
+        for group in rest.values()
+    ]
+    for group, found in zip(rest.values(), _wide(df, asks, columns_per_job)):
+        for s, value in zip(group, found):
+            s.found = value
+    by_rank = {w: s.found for w, s in zip(wanted, searches)}
+    return [by_rank[r] for r in ranks]
 
 
 def quantiles(
@@ -157,14 +172,18 @@ def quantiles(
 
     ``sizes`` gives the non-NULL row count of every column; empty columns are left out.
     """
-    asks, spots = [], []
+    asks: list[tuple[str, int, int]] = []
+    parts: list[tuple[str, float]] = []
     for name, n in sizes.items():
         for p in probabilities:
             if n > 0:
                 spot = (n - 1) * p
-                asks.append((name, math.floor(spot), n))
-                spots.append((name, spot - math.floor(spot)))
+                low = math.floor(spot)
+                asks += [(name, low, n), (name, min(low + 1, n - 1), n)]
+                parts.append((name, spot - low))
+    values = order_statistics(df, asks, **options)
     out: dict[str, list[float]] = {}
-    for (name, h), (a, b) in zip(spots, order_statistics(df, asks, **options)):
+    for i, (name, h) in enumerate(parts):
+        a, b = values[2 * i], values[2 * i + 1]
         out.setdefault(name, []).append(a if h == 0 or a == b else (1 - h) * a + h * b)
     return out
