@@ -49,7 +49,7 @@ def clean(case: Case, codes: tuple = ()) -> str:
 
 
 def is_number(k: str) -> str:
-    return f"regexp_matches({k}, '{NUMBER}')"
+    return f"regexp_matches(replace({k}, ',', ''), '{NUMBER}')"
 
 
 def is_date(k: str) -> str:

@@ -86,6 +86,11 @@ def looks_numeric(x: str) -> str:
     return f"({x} RLIKE r'{NUMBER_PATTERN}')"
 
 
+def looks_numeric_with_commas(x: str) -> str:
+    """Number test that ignores thousands separators."""
+    return looks_numeric(f"replace({x}, ',', '')")
+
+
 def number_from_text(x: str) -> str:
     """Number held in trimmed text, NULL when there is none."""
     return f"CASE WHEN {looks_numeric(x)} THEN try_cast({x} AS DOUBLE) END"

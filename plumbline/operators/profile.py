@@ -69,7 +69,7 @@ def _long_text_flags(x: str) -> str:
     the text, so adding them to the key changes no group.
     """
     return (
-        f"CASE WHEN length({x}) > {SHORT_TEXT} THEN if({V.looks_numeric(x)}, 1, 0) "
+        f"CASE WHEN length({x}) > {SHORT_TEXT} THEN if({V.looks_numeric_with_commas(x)}, 1, 0) "
         f"+ if({V.has_date_hint(x)}, 2, 0) ELSE 0 END"
     )
 
@@ -162,7 +162,7 @@ def _fold(frame: Frame, positions: Sequence[int], used: Sequence[str]) -> dict[s
         words = members("string")
         short = f"{words} AND length(text) <= {SHORT_TEXT}"
         dated = f"({short} AND {V.looks_like_date('text')})"
-        out["n_number_text"] = total(f"({short} AND {V.looks_numeric('text')}) OR f IN (1, 3)")
+        out["n_number_text"] = total(f"({short} AND {V.looks_numeric_with_commas('text')}) OR f IN (1, 3)")
         out["n_date_text"] = total(dated)
         out["has_date_hint"] = (
             f"coalesce(bool_or(({short} AND {V.has_date_hint('text')}) OR f >= 2), false)"
