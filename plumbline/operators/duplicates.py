@@ -15,16 +15,21 @@ from plumbline.operators.local import local_table
 def fingerprint(frame: Frame) -> list[Column]:
     """128-bit row key: two hashes of all columns, started from different values.
 
-    A row costs 16 bytes in the shuffle however wide it is.  NULL marks are hashed
-    too, because the hash function skips NULLs.
+    A row costs 16 bytes in the shuffle however wide it is.  Which columns are NULL is
+    hashed too (one bit mask per 32 columns), because the hash function skips NULLs.
     """
-    parts: list[Column] = []
-    for p, kind in enumerate(frame.kinds):
-        c = frame.col(p)
-        parts += [c.isNull(), F.to_json(F.struct(c)) if kind == "nested" else c]
+    values = [
+        f"to_json(struct(c{p}))" if kind == "nested" else f"c{p}"
+        for p, kind in enumerate(frame.kinds)
+    ]
+    masks = [
+        " + ".join(f"if(c{p} IS NULL, {1 << (p - start)}L, 0L)" for p in range(start, min(start + 32, frame.width)))
+        for start in range(0, frame.width, 32)
+    ]
+    parts = ", ".join(values + masks)
     return [
-        F.xxhash64(F.lit(17), *parts).alias("h1"),
-        F.xxhash64(F.lit(1_000_003), F.lit("row"), *parts).alias("h2"),
+        F.expr(f"xxhash64(17, {parts})").alias("h1"),
+        F.expr(f"xxhash64(1000003, 'row', {parts})").alias("h2"),
     ]
 
 

@@ -7,11 +7,13 @@ every rule below works on their small results (one row per column).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from plumbline.functions import values as V
 from plumbline.functions.rules import band, first_match, matching_codes
@@ -755,11 +757,15 @@ def assess_data_quality(
     user_missing_codes: Sequence[object] | None = None,
     single_pass: bool | None = None,
 ) -> QualityReport:
-    """Run the quality jobs (profile, duplicates, quartiles, outlier counts) on a table."""
-    profiled = profile(df, user_missing_codes, single_pass=single_pass)
-    return QualityReport(
-        profiled,
-        iqr_outliers(profiled),
-        duplicate_counts(profiled.frame),
-        tuple(user_missing_codes or ()),
-    )
+    """Run the quality jobs (profile, duplicates, quartiles, outlier counts) on a table.
+
+    The duplicate job depends on nothing else, so it runs beside the others.
+    """
+    beside = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(1) as pool:
+        duplicates = pool.submit(beside(duplicate_counts), frame_of(df, user_missing_codes))
+        profiled = profile(df, user_missing_codes, single_pass=single_pass)
+        outliers = iqr_outliers(profiled)
+        return QualityReport(
+            profiled, outliers, duplicates.result(), tuple(user_missing_codes or ())
+        )
