@@ -466,12 +466,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["quality_score"](spark, "/root/testdata/sf0.001")
 
 
+try:  # both go together, and everything else works without them
+    import corpus_pipeline
+    from plumbline.llm.queries import ORACLE, QUERIES
+
+    LLM_QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_ORACLE = {**ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+except ImportError:
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         name: (lambda s, d, spec=spec, run=run: _shaped(run(s, d), spec))
         for name, (spec, run, _) in REGISTRY.items()
     }
+    return {**own, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: O.shaped(sql, spec) for name, (spec, _, sql) in REGISTRY.items()}
+    own = {name: O.shaped(sql, spec) for name, (spec, _, sql) in REGISTRY.items()}
+    return {**own, **LLM_ORACLE}
