@@ -1,10 +1,31 @@
-"""The registered queries of this subpackage, each over its whole table."""
+"""The registered queries of this subpackage, each over its whole table, and DuckDB SQL where it fits."""
 
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
-from .near_duplicates import op9_near_duplicates
+from .decontamination import OP8_SQL, op8_decontamination
+from .html_text import op2_html_text
+from .language import op6_language
+from .licenses import OP4_SQL, op4_licenses
+from .near_duplicates import OP9_SQL, op9_near_duplicates
+from .quality_classifier import op1_quality_classifier
+from .quality_rules import op7_quality_rules
+from .suffix_tree import op10_suffix_tree
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_byte_bpe, op9_near_duplicates)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_html_text,
+        op3_token_files,
+        op4_licenses,
+        op5_byte_bpe,
+        op6_language,
+        op7_quality_rules,
+        op8_decontamination,
+        op9_near_duplicates,
+        op10_suffix_tree,
+    )
+}
+ORACLE = {"op4_licenses": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_near_duplicates": OP9_SQL}
