@@ -24,9 +24,13 @@ def ascii_lower(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """array<string> of the runs without ASCII white space; null and blank texts have none."""
-    core = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
-    words = F.split(core, rf"[{SPACE_CLASS}]+")
-    return F.when(core == "", F.array().cast("array<string>")).otherwise(words)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE_CLASS}]+"), "")
+
+
+def letter_words(text: Column) -> Column:
+    """array<string> of the runs of a-z (A-Z lower-cased), digits and anything beyond ASCII."""
+    breaks = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), breaks), "")
 
 
 def crc_mod(key: Column, divisor: int) -> Column:

@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
-from .decontamination import words_of
+from .common import let, letter_words, table
 
 LIMIT = 0.8
 #: fixed values: public license notices
@@ -53,7 +52,7 @@ def notice_index(spark: SparkSession, notices: dict[str, str], limit: float) ->
     """n (admitted size), license, m, wanted (pairs); its rows depend on the notices only."""
     pairs = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in notices.items()]
     rows = spark.range(1).select(F.inline(F.array(*pairs)))
-    rows = rows.select("license", let(words_of(F.col("notice")), _pairs).alias("wanted"))
+    rows = rows.select("license", let(letter_words(F.col("notice")), _pairs).alias("wanted"))
     rows = rows.withColumn("m", F.size("wanted")).where("m > 0")
     low = F.ceil(F.col("m") * (limit / (2 - limit)) - 1e-9)
     high = F.floor(F.col("m") * ((2 - limit) / limit) + 1e-9)
@@ -79,7 +78,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, limit: float =
         pairs = F.when(F.size(words) > least, _pairs(words)).otherwise(F.array().cast("array<bigint>"))
         return let(pairs, lambda p: F.array(F.struct(F.size(p).alias("n"), p.alias("pairs"))))
 
-    units = units.where("part IS NOT NULL").select("doc_id", "unit", F.inline(let(words_of(F.col("part")), sized)))
+    units = units.where("part IS NOT NULL").select("doc_id", "unit", F.inline(let(letter_words(F.col("part")), sized)))
     met = units.join(F.broadcast(index), "n")  # a few dozen rows per notice
     dice = 2 * F.size(F.array_intersect("pairs", "wanted")) / (F.col("n") + F.col("m"))
     return met.select("doc_id", "unit", "license", dice.alias("dice")).where(F.col("dice") >= limit)
