@@ -10,6 +10,7 @@ the metadata columns only.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, chunks_of
+from .chunks import ChunkCache, TextEncoder
 from .common import scratch_path, table
 
 IDS = np.dtype("<u4")
@@ -27,34 +28,38 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_SCHEMA = "part int, part_start long, doc_id long, n_tokens long, tokens array<int>"
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, TextEncoder] = {}
 
 
-def _worker(path: str) -> tuple:
-    """Tokenizer and chunk caches, kept for the life of a Python worker."""
+def byte_alphabet() -> dict[int, int]:
+    """How the vocabulary writes bytes: printable Latin-1 as itself, others from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def encoder(path: str) -> TextEncoder:
+    """The tokenizer behind piece and chunk caches, kept for the life of a Python worker.
+
+    The file's pre-tokenizer matches the public pattern and writes bytes in its alphabet; its
+    model then sees one piece at a time, so a piece's ids can be kept.
+    """
     if path not in _LOADED:
+        import public_tokenizers as P
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model, alphabet, pieces = Tokenizer.from_file(path).model, byte_alphabet(), regex.compile(P.PATTERN)
 
-        def one(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        def piece(text: str) -> bytes:
+            written = text.encode("utf-8").decode("latin-1").translate(alphabet)
+            return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
-        _LOADED[path] = tokenizer, ChunkCache("", one), ChunkCache(" ", one)
+        known = ChunkCache("", piece)
+        _LOADED[path] = TextEncoder(lambda text: b"".join(map(known.__getitem__, pieces.findall(text))))
     return _LOADED[path]
 
 
-def _encode_batch(path: str, texts: list[str]) -> list[bytes]:
-    tokenizer, first, rest = _worker(path)
-    cut = [chunks_of(t) for t in texts]
-    new = [c for c in set().union(*(c[1:] for c in cut)).difference(rest) if len(c) <= 64]
-    coded = tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-    for chunk, ids in zip(new, coded):
-        rest.keep(chunk, np.array(ids.ids, IDS).tobytes())
-    return [first[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cut]
-
-
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -76,11 +81,11 @@ def write_tokens(
     end = np.array([end_id], IDS).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        part, done, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [x + end for x in _encode_batch(tokenizer_path, [t.as_py() or "" for t in batch.column(1)])]
+            ids = [encode_text(t.as_py() or "") + end for t in batch.column(1)]
             offsets = np.cumsum([0, *(len(x) // IDS.itemsize for x in ids)])
             flat = np.frombuffer(b"".join(ids), IDS).astype(np.int32)
             columns = [
