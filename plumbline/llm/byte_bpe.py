@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, TextEncoder
+from .chunks import TextEncoder
 from .common import table
 
 LEAF_BYTES = 8
@@ -161,12 +161,7 @@ def codec(ranks_path: str, pattern: str) -> tuple[TextEncoder, Monoid]:
         def piece(text: str) -> bytes:
             return array("I", monoid.piece(text.encode("utf-8"))).tobytes()
 
-        known = ChunkCache("", piece)  # a word with and without a full stop shares its piece
-
-        def encode(text: str) -> bytes:
-            return b"".join(map(known.__getitem__, pieces.findall(text)))
-
-        _LOADED[key] = TextEncoder(encode), monoid
+        _LOADED[key] = TextEncoder(pieces.findall, piece), monoid
     return _LOADED[key]
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 CUT = re.compile(r" (?=\S)")
 UNSAFE = re.compile(r" (?=\s)| \Z")
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 600_000
 CACHED_CHARS = 64
 
 
@@ -41,11 +41,41 @@ class ChunkCache(dict):
         self[chunk] = ids
 
 
+class BlankChunks(ChunkCache):
+    """Chunks behind a blank.  A run of letters, and one with a comma or full stop, need no pattern:
+    the pattern matches the blank with the letters, and the mark on its own."""
+
+    def __init__(self, encode: Callable[[str], bytes], pieces: dict[str, bytes]):
+        super().__init__(" ", encode)
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            ids = self.pieces[" " + chunk]
+        elif chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            ids = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        else:
+            return super().__missing__(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHED_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class TextEncoder:
-    """Encode whole texts chunk by chunk."""
+    """Encode whole texts chunk by chunk, and chunks piece by piece.
+
+    ``matches`` lists the pieces of a chunk, ``piece`` gives the ids of one.
+    """
+
+    def __init__(self, matches: Callable[[str], list[str]], piece: Callable[[str], bytes]):
+        pieces = ChunkCache("", piece)
+
+        def encode(chunk: str) -> bytes:
+            return b"".join(map(pieces.__getitem__, matches(chunk)))
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.first, self.rest = ChunkCache("", encode), ChunkCache(" ", encode)
+        self.first, self.rest = ChunkCache("", encode), BlankChunks(encode, pieces)
 
     def __call__(self, text: str) -> bytes:
         head, *tail = chunks_of(text)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, TextEncoder
+from .chunks import TextEncoder
 from .common import scratch_path, table
 
 IDS = np.dtype("<u4")
@@ -55,8 +55,7 @@ def encoder(path: str) -> TextEncoder:
             written = text.encode("utf-8").decode("latin-1").translate(alphabet)
             return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
-        known = ChunkCache("", piece)
-        _LOADED[path] = TextEncoder(lambda text: b"".join(map(known.__getitem__, pieces.findall(text))))
+        _LOADED[path] = TextEncoder(pieces.findall, piece)
     return _LOADED[path]
 
 
