@@ -34,7 +34,9 @@ def normalized(x: str, dtype: T.DataType, codes: Sequence[object] | None = None)
     if kind == "numeric":
         numbers = ", ".join(f"{n!r}D" for n in _codes_as_numbers(codes))
         return f"CASE WHEN CAST({x} AS DOUBLE) NOT IN ({numbers}) THEN {x} END" if numbers else x
-    text = f"upper(CAST({x} AS STRING))" if kind == "boolean" else f"CAST({x} AS STRING)"
+    text = f"CAST({x} AS STRING)"
+    if kind == "boolean":
+        text, labels = f"upper({text})", [label.upper() for label in labels]
     return f"CASE WHEN {text} NOT IN ({', '.join(map(literal, labels))}) THEN {x} END"
 
 

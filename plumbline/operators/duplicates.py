@@ -12,6 +12,13 @@ from plumbline.operators.clean import Frame, normalized
 from plumbline.operators.local import local_table
 
 
+# Nested values as text keep microseconds and say which fields are NULL.
+_EXACT = (
+    "map('timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\", "
+    "'timestampNTZFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\", 'ignoreNullFields', 'false')"
+)
+
+
 def fingerprint(frame: Frame) -> list[Column]:
     """128-bit row key: two hashes of all columns, started from different values.
 
@@ -19,7 +26,7 @@ def fingerprint(frame: Frame) -> list[Column]:
     hashed too (one bit mask per 32 columns), because the hash function skips NULLs.
     """
     values = [
-        f"to_json(struct(c{p}))" if kind == "nested" else f"c{p}"
+        f"to_json(struct(c{p}), {_EXACT})" if kind == "nested" else f"c{p}"
         for p, kind in enumerate(frame.kinds)
     ]
     masks = [
@@ -60,10 +67,10 @@ def duplicate_positions(
 ) -> DataFrame:
     """Keys of every row that repeats an earlier row in the ``compare`` columns.
 
-    ``order_by`` names the columns that identify a row and give its order (add one with
-    :func:`with_row_position` when the table has none).  The first row of each group is
-    found with a mergeable ``min``; the others are what is left after an anti join on the
-    unique order key, so one huge group of copies never meets in a task.
+    ``order_by`` names the columns that give the order of the rows (add one with
+    :func:`with_row_position` when the table has none).  The first key of each group is
+    found with a mergeable ``min``, and one row with that key is the first; so keys may
+    repeat, and one huge group of copies never meets in a task.
     """
     names = list(df.columns)
     compare = [n for n in names if n not in order_by] if compare is None else list(compare)
@@ -73,15 +80,19 @@ def duplicate_positions(
         F.expr(normalized(f"x{names.index(n)}", t, user_missing_codes)).alias(f"c{i}")
         for i, (n, t) in enumerate(zip(compare, dtypes))
     ]
-    key = F.struct(*[F.col(f"x{names.index(n)}").alias(f"k{i}") for i, n in enumerate(order_by)])
+    keys = [F.col(f"x{names.index(n)}").alias(f"k{i}") for i, n in enumerate(order_by)]
+    # one plain column keeps the aggregate in hash tables
+    key = keys[0] if len(keys) == 1 else F.struct(*keys)
     frame = Frame(view.select(key.alias("key"), *cells), tuple(compare), tuple(dtypes))
     hashed = frame.df.select("key", *fingerprint(frame))
-    firsts = hashed.groupBy("h1", "h2").agg(F.min("key").alias("key")).select("key")
-    return (
-        hashed.select("key")
-        .join(firsts, "key", "left_anti")
-        .select(*[F.col(f"key.k{i}").alias(name) for i, name in enumerate(order_by)])
+    counted = hashed.groupBy("h1", "h2", "key").agg(F.count(F.lit(1)).alias("copies"))
+    firsts = counted.groupBy("h1", "h2").agg(F.min("key").alias("first"))
+    later = counted.join(firsts, ["h1", "h2"]).withColumn(
+        "later", F.col("copies") - F.col("key").eqNullSafe(F.col("first")).cast("bigint")
     )
+    rows = later.where("later > 0").select("key", F.explode(F.sequence(F.lit(1).cast("bigint"), "later")))
+    cells = [F.col("key") if len(keys) == 1 else F.col(f"key.k{i}") for i in range(len(keys))]
+    return rows.select(*[cell.alias(name) for cell, name in zip(cells, order_by)])
 
 
 def with_row_position(df: DataFrame, name: str = "position") -> DataFrame:

@@ -20,13 +20,15 @@ DAY = float(V.SECONDS_PER_DAY)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only if none is named."""
+    """Use the shared checkpoint folder; only a local session without one gets its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not named and (not context.master.startswith("local") or context.master.startswith("local-")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
 
 
@@ -81,6 +83,17 @@ def time_value(frame: Frame, column: Column_) -> tuple[Column, bool]:
     return F.lit(None).cast("double"), False
 
 
+def civil_seconds(frame: Frame, column: Column_, t: Column) -> Column:
+    """The wall clock of a time axis: a timestamp as the session's time zone shows it.
+
+    Whether times are at midnight, and how many days lie between them, is a matter of the
+    calendar and not of UTC; ``t`` itself for anything but timestamps.
+    """
+    if column.kind == "timestamp":
+        return V.seconds_from_timestamp(f"CAST(c{column.pos} AS TIMESTAMP_NTZ)", T.TimestampNTZType())
+    return t
+
+
 @dataclass(frozen=True)
 class GapStats:
     """Spacing of the distinct time points of a series."""
@@ -106,12 +119,18 @@ def gap_stats(
 ) -> GapStats:
     """Count, spread and regularity of the distinct time points (rows with a value)."""
     t, in_seconds = time_value(frame, time_column)
-    rows = frame.df.select(t.alias("t"), (F.lit(True) if value_present is None else value_present).alias("ok"))
-    points = rows.where("t IS NOT NULL AND ok").groupBy("t").agg(F.count(F.lit(1)).alias("cnt"))
+    rows = frame.df.select(
+        t.alias("t"),
+        civil_seconds(frame, time_column, t).alias("civil"),
+        (F.lit(True) if value_present is None else value_present).alias("ok"),
+    )
+    points = rows.where("t IS NOT NULL AND ok").groupBy("t").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("civil").alias("civil")
+    )
     head = points.agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_rows"),
         F.count(F.lit(1)).alias("n_points"),
-        F.bool_and(F.pmod(F.col("t"), F.lit(DAY)) == 0).alias("midnight"),
+        F.bool_and(F.pmod(F.col("civil"), F.lit(DAY)) == 0).alias("midnight"),
     ).first()
     unit = "number"
     if in_seconds:
@@ -120,7 +139,7 @@ def gap_stats(
         return GapStats(
             head["n_rows"], head["n_points"], unit, None, None, None, None, None, None, None, False
         )
-    axis = points.select((F.col("t") / F.lit(DAY)) if unit == "day" else F.col("t"))
+    axis = points.select((F.col("civil") / F.lit(DAY)) if unit == "day" else F.col("t"))
     gaps = ordered_gaps(axis.toDF("v"), "v", head["n_points"], rows_per_task)
     stats = gaps.agg(
         F.avg("gap").alias("mean"),

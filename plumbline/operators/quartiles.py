@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task, which does not
 hold for columns with billions of values.  Here each wanted rank is bracketed instead:
 
-1. ``percentile_approx`` gives a value just below and just above the wanted rank,
+1. a KLL sketch gives a value just below and just above the wanted rank; sketches are merged
+   in two levels, so no task gets one from every other,
 2. exact counts below, at and between the two values tell whether the rank is one of
    the two values (found), lies strictly between them (the new bracket), or was missed
    (the next try is wider),
@@ -11,8 +12,9 @@ hold for columns with billions of values.  Here each wanted rank is bracketed in
 4. the order statistics are read from the few rows left.
 
 A bracket always loses its two ends, so the search ends, and a value repeated billions
-of times ends it at once.  Every step is one query of wide aggregates; what reaches the
-driver is a handful of numbers per column.
+of times ends it at once.  Once every column of a scan has a bracket, the brackets are its
+filter.  Every step is one query of wide aggregates; what reaches the driver is a handful
+of numbers per column.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.scans import columns_per_scan, input_files
 
 BRACKET_ROWS = 100_000
-ACCURACY = 10_000
 COLUMNS_PER_JOB = 40
+ACCURACY = 4096  # size of a sketch; its rank error is about 4 / size
+MERGE_GROUPS = 64
 
 
 @dataclass
@@ -45,16 +48,26 @@ class _Search:
     slack: float = 2.0
     found: float | None = None
 
+    @property
+    def bracket(self) -> str | None:
+        """The condition of being inside, if there are ends yet."""
+        return None if self.lo is None else f"`{self.name}` > {self.lo!r}D AND `{self.name}` < {self.hi!r}D"
+
+    @property
+    def inner(self) -> str:
+        """The value if it lies inside."""
+        return f"CASE WHEN {self.bracket} THEN `{self.name}` END" if self.bracket else f"`{self.name}`"
+
     def percentiles(self, wanted: Sequence[float], accuracy: int) -> Column:
-        """Sketch quantiles of the values inside the bracket."""
-        x = f"`{self.name}`"
-        if self.lo is not None:
-            x = f"CASE WHEN {x} > {self.lo!r}D AND {x} < {self.hi!r}D THEN {x} END"
-        return F.expr(f"percentile_approx({x}, array({', '.join(f'{w!r}D' for w in wanted)}), {accuracy})")
+        """Quantiles of the few values inside the bracket."""
+        return F.expr(
+            f"percentile_approx({self.inner}, array({', '.join(f'{w!r}D' for w in wanted)}), {accuracy})"
+        )
 
     def settle(self, lo: float, hi: float, counts: Sequence[float]) -> None:
-        """Use the exact counts of the column below lo, at lo, between and at hi."""
+        """Use the exact counts inside the bracket: below lo, at lo, between and at hi."""
         below, at_lo, between, at_hi = (int(c) for c in counts)
+        below += self.below
         if lo == hi:
             at_hi = 0
         if not below <= self.rank < below + at_lo + between + at_hi:
@@ -67,32 +80,74 @@ class _Search:
             self.lo, self.hi, self.below, self.inside = lo, hi, below + at_lo, between
 
 
-def _wide(df: DataFrame, exprs: Sequence[tuple[str, Column]], step: int) -> list[list[float]]:
-    """Evaluate ``(column, aggregate giving array<double>)`` pairs in one query.
+def _branches(searches: Sequence[_Search], step: int) -> list[list[int]]:
+    """Positions of the searches per scan, ``step`` columns each."""
+    order = list(dict.fromkeys(s.name for s in searches))
+    out: dict[int, list[int]] = {}
+    for i, s in enumerate(searches):
+        out.setdefault(order.index(s.name) // step, []).append(i)
+    return list(out.values())
 
-    Aggregates are spread over branches by column, ``step`` columns per branch; every
-    branch reads only its own columns and the branches run side by side.
-    """
-    if not exprs:
+
+def _inside(df: DataFrame, searches: Sequence[_Search]) -> DataFrame:
+    """The rows that some search still needs."""
+    brackets = [s.bracket for s in searches]
+    if not all(brackets):
+        return df
+    return df.where(" OR ".join(f"({b})" for b in dict.fromkeys(brackets)))
+
+
+def _gather(parts: list[DataFrame], branches: list[list[int]], n: int) -> list[list[float]]:
+    """One row per scan, its arrays dealt back to the searches."""
+    if not parts:
         return []
-    order = list(dict.fromkeys(name for name, _ in exprs))
-    branch_of = {name: i // step for i, name in enumerate(order)}
-    branches: dict[int, list[int]] = {}
-    for i, (name, _) in enumerate(exprs):
-        branches.setdefault(branch_of[name], []).append(i)
-    parts = [
-        df.agg(F.array(*[exprs[i][1] for i in members]).alias("found")).select(
-            F.lit(b).alias("branch"), "found"
-        )
-        for b, members in branches.items()
-    ]
-    out: list[list[float]] = [[] for _ in exprs]
-    for row in reduce(DataFrame.unionByName, parts).collect():
+    out: list[list[float]] = [[] for _ in range(n)]
+    tagged = [part.select(F.lit(b).alias("branch"), "found") for b, part in enumerate(parts)]
+    for row in reduce(DataFrame.unionByName, tagged).collect():
         for i, found in zip(branches[row["branch"]], row["found"]):
             out[i] = found
     return out
 
 
+def _exact(df: DataFrame, asks: Sequence[tuple[_Search, Column]], step: int) -> list[list[float]]:
+    """Evaluate ``(search, aggregate giving array<double>)`` pairs in one query.
+
+    Aggregates are spread over scans by column; every scan reads only its own columns and
+    the scans run side by side.
+    """
+    searches = [s for s, _ in asks]
+    branches = _branches(searches, step)
+    parts = [
+        _inside(df, [searches[i] for i in members]).agg(F.array(*[asks[i][1] for i in members]).alias("found"))
+        for members in branches
+    ]
+    return _gather(parts, branches, len(asks))
+
+
+def _sketched(
+    df: DataFrame, asks: Sequence[tuple[_Search, Sequence[float]]], accuracy: int, step: int
+) -> list[list[float]]:
+    """Approximate quantiles of each search's inner values: sketches per task, merged in two levels."""
+    searches = [s for s, _ in asks]
+    branches = _branches(searches, step)
+    parts = []
+    for members in branches:
+        rows = _inside(df, [searches[i] for i in members])
+        group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("merge_group")
+        cells = [F.expr(searches[i].inner).alias(f"v{i}") for i in members]
+        first = rows.select(group, *cells).groupBy("merge_group").agg(
+            *[F.kll_sketch_agg_double(f"v{i}", accuracy).alias(f"s{i}") for i in members]
+        )
+        merged = first.agg(*[F.kll_merge_agg_double(f"s{i}", accuracy).alias(f"s{i}") for i in members])
+        ranks = {i: F.array(*[F.lit(float(w)) for w in asks[i][1]]) for i in members}
+        parts.append(
+            merged.select(
+                F.array(*[F.kll_sketch_get_quantile_double(f"s{i}", ranks[i]) for i in members]).alias("found")
+            )
+        )
+    return _gather(parts, branches, len(asks))
+
+
 def _narrow(df: DataFrame, searches: list[_Search], limit: int, accuracy: int, step: int) -> None:
     open_ = [s for s in searches if s.found is None and s.inside > limit]
     while open_:
@@ -104,22 +159,22 @@ def _narrow(df: DataFrame, searches: list[_Search], limit: int, accuracy: int, s
         for group in shared.values():
             wanted = []
             for s in group:
-                spot, pad = (s.rank - s.below + 0.5) / s.inside, s.slack / accuracy
+                spot, pad = (s.rank - s.below + 0.5) / s.inside, 4 * s.slack / accuracy
                 wanted += [max(spot - pad, 0.0), min(spot + pad, 1.0)]
-            asks.append((group[0].name, group[0].percentiles(wanted, accuracy)))
+            asks.append((group[0], wanted))
         ends = {}
-        for group, found in zip(shared.values(), _wide(df, asks, step)):
+        for group, found in zip(shared.values(), _sketched(df, asks, accuracy, step)):
             for i, s in enumerate(group):
                 ends[id(s)] = (found[2 * i], found[2 * i + 1])
         counts = []
         for s in open_:
-            x, (lo, hi) = f"`{s.name}`", ends[id(s)]
+            x, (lo, hi) = s.inner, ends[id(s)]
             lo_text, hi_text = f"{lo!r}D", f"{hi!r}D"
-            tests = (f"{x} < {lo_text}", f"{x} = {lo_text}")
-            tests += (f"{x} > {lo_text} AND {x} < {hi_text}", f"{x} = {hi_text}")
+            tests = (f"({x}) < {lo_text}", f"({x}) = {lo_text}")
+            tests += (f"({x}) > {lo_text} AND ({x}) < {hi_text}", f"({x}) = {hi_text}")
             cells = ", ".join(f"CAST(count_if({t}) AS DOUBLE)" for t in tests)
-            counts.append((s.name, F.expr(f"array({cells})")))
-        for s, counted in zip(open_, _wide(df, counts, step)):
+            counts.append((s, F.expr(f"array({cells})")))
+        for s, counted in zip(open_, _exact(df, counts, step)):
             s.settle(*ends[id(s)], counted)
         open_ = [s for s in searches if s.found is None and s.inside > limit]
 
@@ -148,14 +203,14 @@ def order_statistics(
     # at this accuracy the sketch keeps every one of the few rows of the bracket
     asks = [
         (
-            group[0].name,
+            group[0],
             group[0].percentiles(
                 [(s.rank - s.below + 0.5) / s.inside for s in group], 4 * max(group[0].inside, 2_500)
             ),
         )
         for group in rest.values()
     ]
-    for group, found in zip(rest.values(), _wide(df, asks, columns_per_job)):
+    for group, found in zip(rest.values(), _exact(df, asks, columns_per_job)):
         for s, value in zip(group, found):
             s.found = value
     by_rank = {w: s.found for w, s in zip(wanted, searches)}

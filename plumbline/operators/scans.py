@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 # Upper limit of columns handled in one scan, so that generated code stays small.
@@ -13,7 +14,7 @@ COLUMNS_PER_SCAN = 64
 def input_files(df: DataFrame) -> list[str]:
     try:
         return df.inputFiles()
-    except Exception:  # in-memory inputs have no file list
+    except AnalysisException:  # inputs that have no file list
         return []
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +170,9 @@ def evaluate_readiness(
     """Judge a table for a purpose; ``roles`` maps role names to column names.
 
     The table is judged as it was read (user missing codes are not applied).  An unknown
-    or empty purpose gives "unselected"; any error gives "unfit" with the error as message.
+    or empty purpose gives "unselected"; input that can't be judged (an unknown role or
+    column, a wrong type) gives "unfit" with the error as message.  Errors of a running job
+    say nothing about the data and are raised.
     """
     session = spark or (
         data.frame.df.sparkSession if isinstance(data, Profile) else data.sparkSession if data is not None else SparkSession.active()
@@ -184,7 +187,7 @@ def evaluate_readiness(
         chosen = dict(roles or {})
         profiled = data if isinstance(data, Profile) else _profile_for(data, purpose, chosen)
         return CHECKS[purpose](profiled, chosen)
-    except Exception as error:  # the caller gets a verdict, not a stack trace
+    except (AnalysisException, LookupError, TypeError, ValueError) as error:
         return _plain(session, purpose, "unfit", "danger", 0.0, f"error: {error}")
 
 

@@ -44,12 +44,19 @@ def read_csv(
     path: str,
     encoding: str = "UTF-8",
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
     **options: object,
 ) -> DataFrame:
     """CSV with a header; only ``NA`` (and an empty field) is read as missing.
 
+    Quoted fields may hold commas, doubled quotes and line breaks.  A file that may hold
+    line breaks can't be split, so one task reads it: turn ``multi_line`` off for large
+    files without any.
+
     ``encoding`` is ``auto``, ``UTF-8``, ``UTF-8-BOM``, ``CP949`` or ``EUC-KR``.  Give a
-    schema for large inputs, as inferring one costs a pass over the files.
+    schema for large inputs, as inferring one costs a pass over the files.  The Korean
+    encodings need ``spark.sql.legacy.javaCharsets``, which Spark looks up whenever the
+    table is scanned; it is therefore switched on in the session and stays on.
     """
     if encoding == "auto":
         encoding = detect_encoding(spark, path)
@@ -61,6 +68,9 @@ def read_csv(
         header=True,
         nullValue="NA",
         encoding=ENCODINGS[encoding],
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
         preferDate=False,
         timestampFormat=_NEVER,
         timestampNTZFormat=_NEVER,

@@ -39,3 +39,21 @@ def test_report_sink(spark, tmp_path):
     write_report({"score": spark.range(1), "items": spark.range(7)}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "report=items")).count() == 7
     assert report_name("data", "regression").startswith("data_regression_")
+
+
+def test_csv_keeps_quoted_records(spark, tmp_path):
+    import codecs
+
+    body = 'id,said,city\n1,"he said ""x, y"" now",서울\n2,"two\nlines",부산\n3,plain,NA\n'
+    want = [(1, 'he said "x, y" now', "서울"), (2, "two\nlines", "부산"), (3, "plain", None)]
+    for name, data in {
+        "UTF-8": body.encode(),
+        "UTF-8-BOM": codecs.BOM_UTF8 + body.encode(),
+        "CP949": body.encode("cp949"),
+        "auto": body.encode("cp949"),
+    }.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(data)
+        df = read_csv(spark, str(path), name)
+        assert df.columns == ["id", "said", "city"]
+        assert sorted(tuple(r) for r in df.collect()) == want
