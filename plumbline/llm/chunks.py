@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 CUT = re.compile(r" (?=\S)")
 UNSAFE = re.compile(r" (?=\s)| \Z")
-CACHED_CHUNKS = 600_000
+GENERATION = 300_000
 CACHED_CHARS = 64
 
 
@@ -23,22 +23,30 @@ def chunks_of(text: str) -> list[str]:
 
 
 class ChunkCache(dict):
-    """chunk -> little-endian ids of (prefix + chunk); bounded, and long chunks are not kept."""
+    """chunk -> little-endian ids of (prefix + chunk), in two generations of bounded size.
+
+    A full generation becomes the old one, from which chunks that are met again move up, so
+    frequent chunks stay.  Long chunks are not kept.
+    """
 
     def __init__(self, prefix: str, encode: Callable[[str], bytes]):
         super().__init__()
         self.prefix, self.encode = prefix, encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.prefix + chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.compute(chunk)
         if len(chunk) <= CACHED_CHARS:
-            self.keep(chunk, ids)
+            if len(self) >= GENERATION:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
         return ids
 
-    def keep(self, chunk: str, ids: bytes) -> None:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        self[chunk] = ids
+    def compute(self, chunk: str) -> bytes:
+        return self.encode(self.prefix + chunk)
 
 
 class BlankChunks(ChunkCache):
@@ -49,18 +57,12 @@ class BlankChunks(ChunkCache):
         super().__init__(" ", encode)
         self.pieces = pieces
 
-    def __missing__(self, chunk: str) -> bytes:
+    def compute(self, chunk: str) -> bytes:
         if chunk.isalpha():
-            ids = self.pieces[" " + chunk]
-        elif chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            ids = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
-        else:
-            return super().__missing__(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+            return self.pieces[" " + chunk]
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        return self.encode(" " + chunk)
 
 
 class TextEncoder:

@@ -106,7 +106,6 @@ def write_tokens(
         .option("parquet.enable.dictionary", "false")
         .option("parquet.block.size", str(row_group_bytes))
         .option("parquet.page.size", str(page_bytes))
-        .option("compression", "zstd")
         .parquet(path)
     )
 
