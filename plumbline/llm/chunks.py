@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 CUT = re.compile(r" (?=\S)")
 UNSAFE = re.compile(r" (?=\s)| \Z")
-GENERATION = 300_000
+GENERATION = 400_000
 CACHED_CHARS = 64
 
 
