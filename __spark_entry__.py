@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle as O  # noqa: E402
-from cases import CASES  # noqa: E402
+from cases import CASES, Case  # noqa: E402
 from plumbline.operators.clean import frame_of, standardize  # noqa: E402
 from plumbline.operators.duplicates import duplicate_positions, duplicate_summary  # noqa: E402
 from plumbline.operators.outliers import box_summary, iqr_outliers  # noqa: E402
@@ -30,7 +30,7 @@ from plumbline.operators.profile import (  # noqa: E402
 from plumbline.plans import quality as Q  # noqa: E402
 from plumbline.plans.quality import assess_data_quality  # noqa: E402
 from plumbline.plans.readiness import evaluate_readiness  # noqa: E402
-from plumbline.plans.readiness.clustering import obvious_id_table, strong_pairs  # noqa: E402
+from plumbline.plans.readiness.clustering import check_clustering, obvious_id_table, strong_pairs  # noqa: E402
 from plumbline.plans.readiness.hypothesis import candidates_of, check_hypothesis  # noqa: E402
 from plumbline.plans.readiness.timeseries import gap_table  # noqa: E402
 
@@ -242,6 +242,26 @@ def _registry() -> dict[str, tuple]:
         lambda s, d: duplicate_positions(_read("documents", s, d), ["doc_id"], ["text", "lang"]),
         O.duplicate_positions(_c("documents"), "doc_id", ["text", "lang"]),
     )
+    # every fiftieth order's lines twice, compared whole
+    repeated = Case("(FROM lineitem UNION ALL FROM lineitem WHERE l_orderkey % 50 = 0)", li.columns)
+    r["duplicate_rows_repeated"] = (
+        "total_rows:i duplicate_count:i duplicate_rate:d",
+        lambda s, d: duplicate_summary(frame_of(_repeated_lines(s, d))),
+        f"WITH {O.clean(repeated)}, {O.dup_cte(repeated)} "
+        "SELECT total_rows, dups AS duplicate_count, dups / total_rows AS duplicate_rate FROM dup",
+    )
+    r["duplicate_positions_repeated"] = (
+        "l_orderkey:i l_linenumber:i",
+        lambda s, d: duplicate_positions(
+            _repeated_lines(s, d), ["l_orderkey", "l_linenumber"], [n for _, n, _ in li.columns]
+        ),
+        "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0",
+    )
+    r["duplicate_positions_embeddings"] = (
+        "vec_id:i",
+        lambda s, d: duplicate_positions(_read("embeddings", s, d), ["vec_id"]),
+        "SELECT vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY embedding, label ORDER BY vec_id) > 1",
+    )
     points = O.steps("dup_rate", "<", [(0.01, 15), (0.05, 12), (0.1, 8), (0.2, 4)])
     r["duplicate_relaxed"] = (
         "n_rows:i duplicate_count:i duplicate_percent:d raw_score:i score:i relaxed:b",
@@ -396,6 +416,20 @@ def _registry() -> dict[str, tuple]:
         lambda s, d: gap_table(profile(_read("events_special", s, d).select("ts")), "ts"),
         O.time_gaps(ev, "ts"),
     )
+    for name in ("date_text", "date_number"):  # both write the days of l_shipdate
+        r[f"time_gaps_{name}"] = (
+            O.GAP_OUT,
+            lambda s, d, n=name: gap_table(profile(_read("lineitem_text", s, d).select(n)), n),
+            O.time_gaps(Case("lineitem", (("date_trunc('day', l_shipdate)", "t", "t"),)), "t"),
+        )
+    weekdays = Case("orders", (("CASE WHEN isodow(o_orderdate) < 6 THEN o_orderdate END", "t", "t"),))
+    r["time_gaps_business"] = (
+        O.GAP_OUT,
+        lambda s, d: gap_table(
+            profile(_read("orders", s, d).selectExpr("CASE WHEN weekday(o_orderdate) < 5 THEN o_orderdate END AS t")), "t"
+        ),
+        O.time_gaps(weekdays, "t"),
+    )
     r["ready_timeseries"] = _ready(
         "lineitem",
         "time_series",
@@ -430,6 +464,16 @@ def _registry() -> dict[str, tuple]:
         lambda s, d: obvious_id_table(profile(_read("customer", s, d))),
         O.obvious_ids(_c("customer")),
     )
+    cu = _c("customer")
+    r["clustering_candidates"] = (
+        "pos:i variable:s variable_type:s n_unique:i is_final:b reason:s",
+        lambda s, d: check_clustering(
+            profile(_read("customer", s, d)), [n for _, n, _ in cu.columns]
+        ).details["candidates"],
+        f"WITH {O.profile(cu)} SELECT pos, variable, vt AS variable_type, u AS n_unique, reason = 'final' AS is_final, reason "
+        "FROM (SELECT t.*, CASE WHEN is_obvious_id THEN 'id_chosen' WHEN kind <> 'numeric' THEN 'category_chosen' "
+        f"WHEN u < 2 THEN 'single_value_chosen' ELSE 'final' END AS reason FROM types t JOIN ({O.obvious_ids(cu)}) o USING (pos))",
+    )
     r["ready_clustering"] = _ready("lineitem", "cluster", {}, O.ready_clustering(li, LINE_NUMERIC))
     r["ready_correlation"] = _ready(
         "orders_dirty",
@@ -443,6 +487,11 @@ def _registry() -> dict[str, tuple]:
     return r
 
 
+def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read("lineitem", spark, sf_dir)
+    return lines.union(lines.where("l_orderkey % 50 = 0"))
+
+
 def _outliers(df: DataFrame) -> DataFrame:
     profiled = profile(df)
     return iqr_outliers(profiled).table(profiled)

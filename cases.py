@@ -115,4 +115,5 @@ CASES = {
     "part": plain(
         "part", "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:d"
     ),
+    "embeddings": plain("embeddings", "vec_id:i embedding:s label:i"),
 }

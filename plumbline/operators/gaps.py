@@ -37,20 +37,16 @@ def ordered_gaps(
 ) -> DataFrame:
     """Difference of every distinct value to the next smaller one (n - 1 rows, ``gap``).
 
-    Up to ``rows_per_task`` values one ordered window does.  Beyond that the values are
-    range-partitioned, each range is ordered on its own, and the first value of a range
-    takes its neighbour from the previous non-empty range; that edge table has one row
-    per range.  The ranged values are checkpointed, because both uses must see the same
-    range borders even if an executor is lost in between.
+    The values are range-partitioned, each range is ordered on its own, and the first value
+    of a range takes its neighbour from the previous non-empty range; that edge table has
+    one row per range.  The ranged values are checkpointed, because both uses must see the
+    same range borders even if an executor is lost in between.
     """
-    values = distinct.select(F.col(value).alias("v"))
-    if n <= rows_per_task:
-        previous = F.lag("v").over(Window.orderBy("v"))
-        return values.select((F.col("v") - previous).alias("gap")).where("gap IS NOT NULL")
     ensure_checkpoint_dir(distinct.sparkSession)
-    ranges = -(-n // rows_per_task)
+    ranges = max(1, -(-n // rows_per_task))
     ranged = (
-        values.repartitionByRange(ranges, "v")
+        distinct.select(F.col(value).alias("v"))
+        .repartitionByRange(ranges, "v")
         .select("v", F.spark_partition_id().alias("b"))
         .checkpoint()
     )
@@ -111,6 +107,18 @@ class GapStats:
     business_day_like: bool
 
 
+def time_points(frame: Frame, time_column: Column_, present: Sequence[Column]) -> DataFrame:
+    """The distinct times with ``civil`` and, per condition, how many rows hold it (``n0``, ``n1``, ...).
+
+    One shuffle serves all value columns of a series.
+    """
+    t, _ = time_value(frame, time_column)
+    conditions = [ok.alias(f"ok{i}") for i, ok in enumerate(present)]
+    rows = frame.df.select(t.alias("t"), civil_seconds(frame, time_column, t).alias("civil"), *conditions)
+    counts = [F.count_if(F.col(f"ok{i}")).alias(f"n{i}") for i in range(len(present))]
+    return rows.where("t IS NOT NULL").groupBy("t").agg(F.min("civil").alias("civil"), *counts)
+
+
 def gap_stats(
     frame: Frame,
     time_column: Column_,
@@ -118,17 +126,21 @@ def gap_stats(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> GapStats:
     """Count, spread and regularity of the distinct time points (rows with a value)."""
-    t, in_seconds = time_value(frame, time_column)
-    rows = frame.df.select(
-        t.alias("t"),
-        civil_seconds(frame, time_column, t).alias("civil"),
-        (F.lit(True) if value_present is None else value_present).alias("ok"),
-    )
-    points = rows.where("t IS NOT NULL AND ok").groupBy("t").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("civil").alias("civil")
-    )
+    points = time_points(frame, time_column, [F.lit(True) if value_present is None else value_present]).persist()
+    try:
+        return gaps_of_points(frame, time_column, points, "n0", rows_per_task)
+    finally:
+        points.unpersist()
+
+
+def gaps_of_points(
+    frame: Frame, time_column: Column_, points: DataFrame, count: str, rows_per_task: int = ROWS_PER_TASK
+) -> GapStats:
+    """The spacing of those :func:`time_points` whose ``count`` is not zero."""
+    in_seconds = time_value(frame, time_column)[1]
+    points = points.where(F.col(count) > 0)
     head = points.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(count), F.lit(0)).alias("n_rows"),
         F.count(F.lit(1)).alias("n_points"),
         F.bool_and(F.pmod(F.col("civil"), F.lit(DAY)) == 0).alias("midnight"),
     ).first()
@@ -140,7 +152,7 @@ def gap_stats(
             head["n_rows"], head["n_points"], unit, None, None, None, None, None, None, None, False
         )
     axis = points.select((F.col("civil") / F.lit(DAY)) if unit == "day" else F.col("t"))
-    gaps = ordered_gaps(axis.toDF("v"), "v", head["n_points"], rows_per_task)
+    gaps = ordered_gaps(axis.toDF("v"), "v", head["n_points"], rows_per_task).persist()
     stats = gaps.agg(
         F.avg("gap").alias("mean"),
         F.stddev_samp("gap").alias("sd"),
@@ -148,6 +160,7 @@ def gap_stats(
         F.avg(F.col("gap").between(1, 4).cast("double")).alias("small_share"),
     ).first()
     median = quantiles(gaps, {"gap": head["n_points"] - 1}, [0.5])["gap"][0]
+    gaps.unpersist()
     mean, sd = stats["mean"], stats["sd"]
     cv = 0.0 if not mean or sd is None else sd / mean
     trading = bool(
@@ -171,6 +184,15 @@ def gap_stats(
     )
 
 
+def whole_columns(frame: Frame, columns: Sequence[Column_]) -> list[Column_]:
+    """The columns that hold whole numbers only: one aggregate, no shuffle of values."""
+    tests = [
+        F.bool_and(frame.finite(c.pos) == F.floor(frame.finite(c.pos))).alias(f"w{c.pos}") for c in columns
+    ]
+    row = frame.df.agg(*tests).first()
+    return [c for c in columns if row[f"w{c.pos}"]]
+
+
 def sequence_share(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
     """Share of neighbouring distinct values that differ by exactly one, per column.
 

@@ -22,6 +22,7 @@ from plumbline.operators.duplicates import duplicate_summary
 from plumbline.operators.local import local_table
 from plumbline.operators.outliers import Outliers, box_summary, iqr_outliers
 from plumbline.operators.profile import Profile, column_summary, profile
+from plumbline.plans.texts import ITEM_TEXTS, STATUS_TEXTS, with_texts
 
 TOP_N = 20
 
@@ -355,6 +356,7 @@ class QualityReport:
     outliers: Outliers
     duplicates: tuple[int, int]
     user_missing_codes: tuple
+    top_n: int = TOP_N
 
     @property
     def spark(self) -> SparkSession:
@@ -574,17 +576,40 @@ class QualityReport:
             F.posexplode(matching_codes(rules)).alias("warning_no", "warning")
         )
 
+    @cached_property
+    def explanations(self) -> DataFrame:
+        """What a reader is told: (section, code, text); the codes that count as missing are named."""
+
+        def said(section: str, rows: DataFrame, code: str, texts: dict[str, str] | None = None) -> DataFrame:
+            return with_texts(rows, code, texts).select(F.lit(section).alias("section"), F.col(code).alias("code"), "text")
+
+        named = ", ".join(str(c) for c in self.user_missing_codes)
+        warnings = said("warning", self.warnings, "warning").withColumn(
+            "text",
+            F.when(F.col("code") == "user_missing_codes_used", F.concat("text", F.lit(f": {named}."))).otherwise(F.col("text")),
+        )
+        items = with_texts(self.item_scores, "status", ITEM_TEXTS)
+        return reduce(
+            DataFrame.unionByName,
+            [
+                said("final", self.score, "final_status", STATUS_TEXTS),
+                items.select(F.lit("item").alias("section"), F.col("item").alias("code"), "text"),
+                warnings,
+                said("recommendation", self.recommendations, "recommendation"),
+            ],
+        )
+
     @cached_property
     def top_missing(self) -> DataFrame:
-        return top_missing(self.missing)
+        return top_missing(self.missing, self.top_n)
 
     @cached_property
     def top_outliers(self) -> DataFrame:
-        return top_outliers(self.outlier_table)
+        return top_outliers(self.outlier_table, self.top_n)
 
     @cached_property
     def box_summary(self) -> DataFrame:
-        return box_summary(self.profile, self.outliers, TOP_N)
+        return box_summary(self.profile, self.outliers, self.top_n)
 
     @cached_property
     def column_report(self) -> DataFrame:
@@ -714,7 +739,7 @@ class QualityReport:
 
     def tables(self) -> dict[str, DataFrame]:
         names = (
-            "score item_scores major_issues warnings findings recommendations report_metrics "
+            "explanations score item_scores major_issues warnings findings recommendations report_metrics "
             "column_summary column_report variable_types missing outlier_table type_issues "
             "special_values format_issues duplicate_table structure_problems category_quality "
             "basic_structure name_problems top_missing top_outliers box_summary"
@@ -756,9 +781,11 @@ def assess_data_quality(
     df: DataFrame,
     user_missing_codes: Sequence[object] | None = None,
     single_pass: bool | None = None,
+    top_n: int = TOP_N,
 ) -> QualityReport:
     """Run the quality jobs (profile, duplicates, quartiles, outlier counts) on a table.
 
+    ``top_n`` is the length of the lists of most missing, most outlying and boxed columns.
     The duplicate job depends on nothing else, so it runs beside the others.
     """
     beside = inheritable_thread_target(df.sparkSession)
@@ -767,5 +794,5 @@ def assess_data_quality(
         profiled = profile(df, user_missing_codes, single_pass=single_pass)
         outliers = iqr_outliers(profiled)
         return QualityReport(
-            profiled, outliers, duplicates.result(), tuple(user_missing_codes or ())
+            profiled, outliers, duplicates.result(), tuple(user_missing_codes or ()), top_n
         )

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.gaps import pair_correlations, sequence_share
+from plumbline.functions.rules import first_match
+from plumbline.operators.gaps import pair_correlations, sequence_share, whole_columns
 from plumbline.operators.local import local_table
 from plumbline.operators.profile import Column_, Profile
 from plumbline.plans.readiness.measures import mean, outlier_columns, outlier_rates, scan
@@ -112,9 +113,10 @@ def obvious_ids(profile: Profile, columns: Sequence[Column_]) -> dict[int, bool]
         and c.n_pos_inf + c.n_neg_inf == 0
         and (c.n_unique or 0) >= 2
     ]
-    if check:
-        for row in sequence_share(profile.frame, check).collect():
-            found[row["pos"]] = bool(row["whole"]) and row["sequence_share"] >= 0.9
+    whole = whole_columns(profile.frame, check) if check else []
+    if whole:  # one row per column comes back
+        for row in sequence_share(profile.frame, whole).collect():
+            found[row["pos"]] = row["sequence_share"] >= 0.9
     return found
 
 
@@ -138,6 +140,30 @@ def strong_pairs(profile: Profile, columns: Sequence[Column_]) -> DataFrame:
     return table.withColumn("is_strong", F.coalesce(F.abs(F.round("r", 9)) >= STRONG_R, F.lit(False)))
 
 
+# Why a candidate is left out, first match wins.
+CANDIDATE_REASONS = [
+    ("is_date", "date_chosen"),
+    ("is_obvious_id", "id_chosen"),
+    ("kind <> 'numeric'", "category_chosen"),
+    ("n_unique < 2", "single_value_chosen"),
+]
+
+
+def candidate_table(profile: Profile, candidates: Sequence[Column_], ids: dict[int, bool]) -> DataFrame:
+    """One row per candidate: whether it is used for clustering, or why not."""
+    rows = [
+        (c.pos, c.variable, c.variable_type, c.kind, c.n_unique or 0, is_date_column(c), ids[c.pos]) for c in candidates
+    ]
+    table = local_table(
+        profile.frame.df.sparkSession,
+        rows,
+        "pos int, variable string, variable_type string, kind string, n_unique bigint, is_date boolean, "
+        "is_obvious_id boolean",
+    )
+    table = table.withColumn("reason", first_match(CANDIDATE_REASONS, "final"))
+    return table.select("pos", "variable", "variable_type", "n_unique", (F.col("reason") == "final").alias("is_final"), "reason")
+
+
 def check_clustering(profile: Profile, cluster_vars: Sequence[str] | None = None) -> Readiness:
     """Final columns, complete rows, outliers and redundancy."""
     frame, spark = profile.frame, profile.frame.df.sparkSession
@@ -187,4 +213,5 @@ def check_clustering(profile: Profile, cluster_vars: Sequence[str] | None = None
         "n_high_unique": sum(c.is_id_by_ratio for c in final),
     }
     out = judge(spark, CLUSTERING, figures)
+    out = out.with_details(candidates=candidate_table(profile, candidates, ids))
     return out if pairs is None else out.with_details(pairs=pairs)

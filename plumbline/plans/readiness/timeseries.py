@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import astuple
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import first_match
-from plumbline.operators.gaps import GapStats, gap_stats
+from plumbline.operators.gaps import GapStats, gap_stats, gaps_of_points, time_points
 from plumbline.operators.local import local_table
 from plumbline.operators.outliers import iqr_outliers
 from plumbline.operators.profile import Column_, Profile
@@ -72,6 +73,11 @@ TIME_SERIES = Rulebook(
     ],
 )
 
+GAP_SCHEMA = (
+    "n_rows bigint, n_points bigint, unit string, mean_gap double, sd_gap double, min_gap double, "
+    "median_gap double, small_share double, cv_raw double, cv double, business_day_like boolean"
+)
+
 # Verdict over all value columns.
 OVERALL = [("n_fit = n_columns", "fit"), ("n_fit + n_partly > 0", "partly")]
 
@@ -86,14 +92,11 @@ def is_valid_time(column: Column_) -> bool:
 
 
 def series_figures(
-    profile: Profile, time: Column_ | None, value: Column_, forecast_model: bool, rate: float | None
-) -> tuple[dict[str, object], GapStats | None]:
-    stats = None
-    if time is not None:
-        stats = gap_stats(profile.frame, time, profile.frame.present(value.pos))
+    time: Column_ | None, value: Column_, forecast_model: bool, rate: float | None, stats: GapStats | None
+) -> dict[str, object]:
     n_valid = stats.n_rows if stats else 0
     n_points = stats.n_points if stats else 0
-    figures: dict[str, object] = {
+    return {
         "time_selected": time is not None,
         "time_valid": time is not None and is_valid_time(time),
         "value_selected": True,
@@ -110,7 +113,22 @@ def series_figures(
         "outlier_rate": rate,
         "forecast_model": bool(forecast_model),
     }
-    return figures, stats
+
+
+def series_gaps(profile: Profile, time: Column_ | None, values: Sequence[Column_]) -> dict[str, GapStats]:
+    """Spacing of the times at which each value column has a value; the table is scanned once."""
+    if time is None:
+        return {}
+    points = time_points(profile.frame, time, [profile.frame.present(v.pos) for v in values]).persist()
+    try:
+        return {v.variable: gaps_of_points(profile.frame, time, points, f"n{i}") for i, v in enumerate(values)}
+    finally:
+        points.unpersist()
+
+
+def spacing_table(spark: SparkSession, gaps: dict[str, GapStats]) -> DataFrame:
+    """The spacing figures, one row per value column."""
+    return local_table(spark, [(name, *astuple(s)) for name, s in gaps.items()], f"variable string, {GAP_SCHEMA}")
 
 
 def check_timeseries(
@@ -143,14 +161,13 @@ def check_timeseries(
         return judge(spark, book, figures | empty)
 
     numeric = [v for v in values if v.variable_type == "numeric" and v.kind == "numeric"]
-    outliers = iqr_outliers(profile, numeric)
+    outliers, gaps = iqr_outliers(profile, numeric), series_gaps(profile, time, values)
+    spacing = spacing_table(spark, gaps)
     parts = {
         v.variable: judge(
             spark,
             TIME_SERIES,
-            series_figures(
-                profile, time, v, forecast_model, outliers.rate(v) if v in numeric else None
-            )[0],
+            series_figures(time, v, forecast_model, outliers.rate(v) if v in numeric else None, gaps.get(v.variable)),
         )
         for v in values
     }
@@ -188,7 +205,7 @@ def check_timeseries(
         only = next(iter(parts.values()))
         return Readiness(
             "time_series", result, only.essential, only.score_detail, only.summary, only.messages
-        ).with_details(per_column=per_column)
+        ).with_details(per_column=per_column, spacing=spacing)
 
     def prefixed(pick, key: str) -> DataFrame:
         return together(pick).withColumn(key, F.concat_ws(".", "variable", key)).drop("variable")
@@ -206,31 +223,11 @@ def check_timeseries(
         prefixed(lambda r: r.score_detail, "criterion"),
         prefixed(lambda r: r.summary, "item"),
         messages,
-    ).with_details(per_column=per_column)
+    ).with_details(per_column=per_column, spacing=spacing)
 
 
 def gap_table(profile: Profile, time_var: str, value_var: str | None = None) -> DataFrame:
     """Spacing of the distinct time points as a one-row table."""
     present = profile.frame.present(profile.named(value_var).pos) if value_var else None
     s = gap_stats(profile.frame, profile.named(time_var), present)
-    return local_table(
-        profile.frame.df.sparkSession,
-        [
-            (
-                s.n_rows,
-                s.n_points,
-                s.unit,
-                s.mean,
-                s.sd,
-                s.smallest,
-                s.median,
-                s.small_share,
-                s.cv_raw,
-                s.cv,
-                s.business_day_like,
-            )
-        ],
-        "n_rows bigint, n_points bigint, unit string, mean_gap double, sd_gap double, "
-        "min_gap double, median_gap double, small_share double, cv_raw double, cv double, "
-        "business_day_like boolean",
-    )
+    return local_table(profile.frame.df.sparkSession, [astuple(s)], GAP_SCHEMA)

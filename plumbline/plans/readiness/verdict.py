@@ -13,6 +13,7 @@ from plumbline.functions import values as V
 from plumbline.functions.rules import first_match, matching_codes
 from plumbline.operators.local import local_table
 from plumbline.plans.labels import FIT_COLORS
+from plumbline.plans.texts import with_texts
 
 # Total points needed for each verdict.
 FIT = [("NOT passed", "unfit"), ("score >= 80", "fit"), ("score >= 60", "partly")]
@@ -65,6 +66,17 @@ class Readiness:
             self.messages.groupBy("code").agg(F.min("message_no").alias("message_no")).orderBy("message_no").select("code")
         )
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Every part by name, as ``write_report`` takes them."""
+        parts = {
+            "result": self.result,
+            "essential": self.essential,
+            "score_detail": self.score_detail,
+            "summary": self.summary,
+            "messages": with_texts(self.messages),
+        }
+        return parts | {f"detail_{name}": table for name, table in self.details.items()}
+
     def sheet(self) -> DataFrame:
         """All parts in one table: (section, item, value)."""
         number = F.lit(1.0)

@@ -104,6 +104,6 @@ def report_name(base: str, purpose: str, when: datetime | None = None) -> str:
 def write_report(
     tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "overwrite"
 ) -> None:
-    """Write each result table to ``path/report=<name>``."""
+    """Write each result table (``tables()`` of a report or a verdict) to ``path/report=<name>``."""
     for name, table in tables.items():
         table.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/report={name}")
