@@ -381,3 +381,38 @@ def test_html_table(spark):
     found = extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_lines) for r in found) == [(0, 2), (1, 26), (2, 0), (2, 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_suffix_tree_small_counts(spark):
+    phrase = "one two three four five six".split()
+    draw = random.Random(5)
+    noise = [" ".join(f"w{draw.randrange(3000)}" for _ in range(200)) for _ in range(150)]
+    # after "b c d" comes y if "a" came before, else z; no shorter context tells them apart
+    telling = ["a b c d y" if i % 2 else "e b c d z" for i in range(60)]
+    few = [" ".join(phrase)] * 9
+    docs = spark.createDataFrame(list(enumerate(noise + telling + few)), "doc_id long, text string").repartition(3)
+    training = suffix_tree._texts(docs).select("text")
+    large = spark.createDataFrame([(" ".join(f"w{draw.randrange(3000)}" for _ in range(2000)).encode(),) for _ in range(150)], "text binary")
+    keys = suffix_tree._Keys()
+
+    def run(words):
+        out = 0
+        for w in words.split():
+            out = suffix_tree._signed(out * suffix_tree.FACTOR + keys[w.encode()])
+        return out
+
+    model = suffix_tree.learn(training)
+    # nine occurrences stay in a corpus ten times as large
+    grown = suffix_tree.learn(training.union(large))
+    assert all(run("five six") in {r.key for r in m.levels[0].where("kept AND listed").collect()} for m in (model, grown))
+    scores = by_id(suffix_tree.score(suffix_tree._texts(docs), model))
+    for r in scores.values():
+        assert r.score <= 1e-9
+    # every value by join gives the same scores
+    near, suffix_tree.HOT = suffix_tree.HOT, 2.0
+    try:
+        far = by_id(suffix_tree.score(suffix_tree._texts(docs), model))
+    finally:
+        suffix_tree.HOT = near
+    assert {i: r.n_known for i, r in far.items()} == {i: r.n_known for i, r in scores.items()}
+    assert [far[i].score for i in sorted(far)] == pytest.approx([scores[i].score for i in sorted(scores)])
