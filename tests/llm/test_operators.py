@@ -383,7 +383,7 @@ def test_html_table(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
-def test_suffix_tree_small_counts(spark):
+def test_suffix_tree_small_counts_and_long_contexts(spark):
     phrase = "one two three four five six".split()
     draw = random.Random(5)
     noise = [" ".join(f"w{draw.randrange(3000)}" for _ in range(200)) for _ in range(150)]
@@ -402,6 +402,9 @@ def test_suffix_tree_small_counts(spark):
         return out
 
     model = suffix_tree.learn(training)
+    assert not model.unfinished
+    kept = [{r.key for r in level.where("kept AND listed").collect()} for level in model.levels]
+    assert {run("a b c d y"), run("e b c d z")} <= kept[3]
     # nine occurrences stay in a corpus ten times as large
     grown = suffix_tree.learn(training.union(large))
     assert all(run("five six") in {r.key for r in m.levels[0].where("kept AND listed").collect()} for m in (model, grown))
