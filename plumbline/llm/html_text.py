@@ -37,6 +37,8 @@ IMPLIED = {
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
+#: what a head may hold; any other start tag or text ends it
+HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 SCOPES = frozenset("table td th caption body html".split())
 MOST_DEPTH = 200
 HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -72,6 +74,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
+            self.open.pop()
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         elif tag in BLOCKS:
@@ -93,6 +97,8 @@ class TreeBuilder(HTMLParser):
             self.close_to((tag,), () if tag in SCOPES else ("td", "th", "caption"))
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and BLANKS.sub("", data):
+            self.open.pop()
         self.open[-1].children.append(data)
 
 

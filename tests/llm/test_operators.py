@@ -419,3 +419,11 @@ def test_suffix_tree_small_counts_and_long_contexts(spark):
         suffix_tree.HOT = near
     assert {i: r.n_known for i, r in far.items()} == {i: r.n_known for i, r in scores.items()}
     assert [far[i].score for i in sorted(far)] == pytest.approx([scores[i].score for i in sorted(scores)])
+
+
+def test_html_omitted_head_and_body_tags():
+    for body in ("<p>Hello <b>you</b>", "Hello <b>you</b>", "</head><p>Hello <b>you</b>", "<body>Hello <b>you</b>"):
+        page = f"<html><head><meta charset=utf-8>\n<title>t</title><style>p {{}}</style>\n{body}"
+        assert visible_text(page) == "Hello you"
+    assert visible_text("<head><noscript><link></noscript><template><p>no</template><script>1</script><p>yes") == "yes"
+    assert visible_text("<head><noscript><p>x</noscript></head><p>yes") == "yes"
