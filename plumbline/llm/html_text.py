@@ -37,6 +37,14 @@ IMPLIED = {
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
+GROUPS = ("thead", "tbody", "tfoot")
+#: a start tag of the key closes all that is open inside the innermost of the values, if there is one
+INSIDE = {
+    **dict.fromkeys((*GROUPS, "caption", "colgroup"), ("table",)),
+    "col": ("colgroup", "table"),
+    "tr": (*GROUPS, "table"),
+    **dict.fromkeys(("td", "th"), ("tr", *GROUPS, "table")),
+}
 #: what a head may hold; any other start tag or text ends it
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 SCOPES = frozenset("table td th caption body html".split())
@@ -73,9 +81,21 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in barrier:
                 return
 
+    def close_inside(self, tags: tuple[str, ...]) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                del self.open[i + 1 :]
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
             self.open.pop()
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
+        if tag in INSIDE:
+            self.close_inside(INSIDE[tag])
+            if tag in ("td", "th") and self.open[-1].tag in (*GROUPS, "table"):
+                self.handle_starttag("tr", [])
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         elif tag in BLOCKS:
@@ -93,11 +113,13 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
+        elif tag == "tr" or tag in GROUPS:
+            self.close_to((tag,), ("table",))
         elif tag not in VOID:
             self.close_to((tag,), () if tag in SCOPES else ("td", "th", "caption"))
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].tag == "head" and BLANKS.sub("", data):
+        if self.open[-1].tag in ("head", "colgroup") and BLANKS.sub("", data):
             self.open.pop()
         self.open[-1].children.append(data)
 
@@ -240,18 +262,26 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and child.seen:
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            elif child.tag in GROUPS:
                 yield from _rows(child)
 
 
-def _table(node: Node, keep: bool) -> list[str]:
-    """Caption, loose content, then rows with their cells padded to the column's width."""
-    out: list[str] = []
+def _loose(node: Node) -> Iterator[Node | str]:
+    """Text and elements outside the cells of a table, caption included, as written."""
     for child in node.children:
         if isinstance(child, str):
-            out += [BLANKS.sub(" ", child).strip()] if child.strip() else []
-        elif child.seen and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            out += _rendered_node(child, keep)
+            yield child
+        elif child.seen and (child.tag == "tr" or child.tag in GROUPS):
+            yield from _loose(child)
+        elif child.seen and child.tag not in ("td", "th", "colgroup"):
+            yield child
+
+
+def _table(node: Node, keep: bool) -> list[str]:
+    """Caption, loose content, then rows with their cells padded to the column's width."""
+    loose = Node("#loose", {})
+    loose.children = list(_loose(node))
+    out = _rendered(loose, False)
     grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}  # column -> rows that a cell above still covers
     for row in _rows(node):
@@ -259,7 +289,7 @@ def _table(node: Node, keep: bool) -> list[str]:
         at = 0
         covered, held = held, {c: n - 1 for c, n in held.items() if n > 1}
         for cell in row.children:
-            if not isinstance(cell, Node) or not cell.seen:
+            if not isinstance(cell, Node) or not cell.seen or cell.tag not in ("td", "th"):
                 continue
             while covered.get(at):
                 at += 1

@@ -427,3 +427,21 @@ def test_html_omitted_head_and_body_tags():
         assert visible_text(page) == "Hello you"
     assert visible_text("<head><noscript><link></noscript><template><p>no</template><script>1</script><p>yes") == "yes"
     assert visible_text("<head><noscript><p>x</noscript></head><p>yes") == "yes"
+
+
+def test_html_table_omitted_tags_and_stray_text():
+    rows = ["a | b", "c | d"]
+    for inside in (
+        "<colgroup><col><col><tr><td>a<td>b<tr><td>c<td>d",
+        "<colgroup><col>\n<tbody><td>a<td>b<tr><td>c<td>d",
+        "<thead><td>a<td>b<tbody><td>c<td>d",
+        "<tr><td>a<td>b<tbody><tr><td>c<td>d",
+        "<td>a<td>b<tr><td>c<td>d",
+    ):
+        assert visible_text(f"<table>{inside}</table>").split("\n") == rows
+    assert visible_text("<table><caption>cap<tr><td>a<td>b<tr><td>c<td>d</table>").split("\n") == ["cap", *rows]
+    stray = "<table><tr>one <b>two</b><td>a<td>b</tr><tbody>three<tr><td>c<td>d</tr></tbody></table>after"
+    assert visible_text(stray).split("\n") == ["one twothree", *rows, "", "after"]
+    nested = "<table><tr><td>x<table><tr><td>in</table>y<td>z</table>"
+    assert [w for w in visible_text(nested).split() if w != "|"] == ["x", "z", "in", "y"]
+    assert visible_text("<table><colgroup>lost<tr><td>a</table>").split("\n") == ["lost", "a"]
