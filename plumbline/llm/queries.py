@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
 from .decontamination import OP8_SQL, op8_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .html_text import op2_html_text
 from .language import op6_language
 from .licenses import OP4_SQL, op4_licenses
@@ -26,6 +27,12 @@ QUERIES = {
         op8_decontamination,
         op9_near_duplicates,
         op10_suffix_tree,
+        op13_filter_audit,
     )
 }
-ORACLE = {"op4_licenses": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLE = {
+    "op4_licenses": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op9_near_duplicates": OP9_SQL,
+    "op13_filter_audit": OP13_SQL,
+}
