@@ -9,6 +9,7 @@ from .html_text import op2_html_text
 from .language import op6_language
 from .licenses import OP4_SQL, op4_licenses
 from .near_duplicates import OP9_SQL, op9_near_duplicates
+from .periodic_runs import op11_periodic_runs
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op7_quality_rules
 from .suffix_tree import op10_suffix_tree
@@ -27,6 +28,7 @@ QUERIES = {
         op8_decontamination,
         op9_near_duplicates,
         op10_suffix_tree,
+        op11_periodic_runs,
         op13_filter_audit,
     )
 }
