@@ -9,6 +9,7 @@ from .html_text import op2_html_text
 from .language import op6_language
 from .licenses import OP4_SQL, op4_licenses
 from .near_duplicates import OP9_SQL, op9_near_duplicates
+from .ngram_join import OP12_SQL, op12_ngram_join
 from .periodic_runs import op11_periodic_runs
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -29,6 +30,7 @@ QUERIES = {
         op9_near_duplicates,
         op10_suffix_tree,
         op11_periodic_runs,
+        op12_ngram_join,
         op13_filter_audit,
     )
 }
@@ -36,5 +38,6 @@ ORACLE = {
     "op4_licenses": OP4_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_near_duplicates": OP9_SQL,
+    "op12_ngram_join": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
