@@ -296,27 +296,18 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     Texts without words and rows without doc_id stay as they are.
     """
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.transform(F.array(space_words(F.col("text"))), _repeating(h))[0]
-    chosen = F.col("doc_id").isNotNull() & (h % 10 == 0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-        "doc_id", F.when(chosen, words).otherwise(F.col("text")).alias("text")
+    g, n = F.floor(h / 10), F.size("words")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.when(F.col("doc_id").isNotNull() & (h % 10 == 0), space_words(F.col("text"))).alias("words"),
     )
-
-
-def _repeating(h):
-    g = F.floor(h / 10)
-
-    def changed(words):
-        n = F.size(words)
-        a = (g % F.greatest(n, F.lit(1))).cast("int")
-        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-        first = F.slice(words, 1, a + p)
-        again = F.transform(
-            F.sequence(F.lit(0), n - 1), lambda i: F.get(first, F.when(i < a, i).otherwise(a + (i - a) % p))
-        )
-        return F.when(n > 0, F.array_join(again, " ")).otherwise(F.lit(""))
-
-    return changed
+    rows = rows.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    changed = F.slice(F.concat(F.slice("words", 1, F.col("a")), again), 1, n)
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
