@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import UPPER, stored, table
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 100
@@ -89,6 +89,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).cast("long").alias("toxic"),
     )
     rows = failures(docs).groupBy("doc_id", "part", "h1", "h2", "mask").agg(F.count("*").alias("n"))
+    rows = stored(rows, "audit-rows")  # read twice below; the texts once
     rows = rows.join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     shape = ["h1", "h2", "part", "mask", "good", "toxic"]
