@@ -459,6 +459,11 @@ def _registry() -> dict[str, tuple]:
         lambda s, d: _pairs(_read("part", s, d)),
         f"WITH {O.clean(_c('part'))} {O.pairs_sql(PART_NUMERIC)}",
     )
+    r["strong_pairs_embeddings"] = (  # 64 columns: blocked co-moments
+        "variable_1:s variable_2:s r:d is_strong:b",
+        lambda s, d: _pairs(_embedding_columns(s, d)),
+        O.EMBEDDING_PAIRS,
+    )
     r["obvious_ids"] = (
         "pos:i variable:s n_non_missing:i n_unique:i is_obvious_id:b",
         lambda s, d: obvious_id_table(profile(_read("customer", s, d))),
@@ -492,6 +497,11 @@ def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.union(lines.where("l_orderkey % 50 = 0"))
 
 
+def _embedding_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return df.selectExpr(*[f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(64)])
+
+
 def _outliers(df: DataFrame) -> DataFrame:
     profiled = profile(df)
     return iqr_outliers(profiled).table(profiled)

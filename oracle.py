@@ -849,6 +849,11 @@ def pairs_sql(columns: list[str]) -> str:
     return "SELECT *, coalesce(abs(round_even(r, 9)) >= 0.9, false) AS is_strong FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+EMBEDDING_PAIRS = """WITH cells AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+pairs AS (SELECT a.i AS i, b.i AS j, corr(a.v, b.v) AS r FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL)
+SELECT 'e' || i AS variable_1, 'e' || j AS variable_2, r, coalesce(abs(round_even(r, 9)) >= 0.9, false) AS is_strong FROM pairs"""
+
+
 def sequence_cte(case: Case) -> str:
     """CTE seq: share of unit gaps between sorted distinct values of the numeric columns."""
     parts = [

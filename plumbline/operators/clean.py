@@ -13,6 +13,10 @@ from plumbline.functions import values as V
 from plumbline.functions.rules import literal
 
 
+#: Longer chains of conditions become arrays.
+LONGEST_CHAIN = 64
+
+
 def _codes_as_numbers(codes: Sequence[object]) -> list[float]:
     out = []
     for code in codes:
@@ -78,19 +82,25 @@ class Frame:
     def positions(self, names: Iterable[str]) -> list[int]:
         return [self.names.index(n) for n in names]
 
+    def _combined(self, positions: Sequence[int], word: str, deciding: str) -> Column:
+        """The presence tests joined by AND or OR; ``deciding`` is the outcome that settles it.
+
+        The optimizer nests a chain as deep as it is long, so a long one becomes an array of tests.
+        """
+        cells = [(f"c{p}", V.is_floating(self.dtypes[p])) for p in positions]
+        tests = [f"({x} IS NOT NULL AND NOT isnan({x}))" if floating else f"{x} IS NOT NULL" for x, floating in cells]
+        if len(tests) <= LONGEST_CHAIN:
+            return F.expr(f" {word} ".join(tests) or ("false" if deciding == "true" else "true"))
+        found = f"array_contains(array({', '.join(tests)}), {deciding})"
+        return F.expr(found if deciding == "true" else f"NOT {found}")
+
     def any_present(self, positions: Sequence[int]) -> Column:
         """At least one of the columns has a value in this row."""
-        test = F.lit(False)
-        for p in positions:
-            test = test | self.present(p)
-        return test
+        return self._combined(positions, "OR", "true")
 
     def all_present(self, positions: Sequence[int]) -> Column:
         """Every one of the columns has a value in this row."""
-        test = F.lit(True)
-        for p in positions:
-            test = test & self.present(p)
-        return test
+        return self._combined(positions, "AND", "false")
 
 
 def frame_of(df: DataFrame, codes: Sequence[object] | None = None) -> Frame:

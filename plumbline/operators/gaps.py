@@ -222,29 +222,3 @@ def sequence_share(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
         ).alias("sequence_share"),
         F.bool_and(F.when(F.col("m").isin(1, 3), F.col("v") == F.floor("v"))).alias("whole"),
     )
-
-
-def pair_correlations(
-    frame: Frame, columns: Sequence[Column_], pairs_per_job: int = 400
-) -> list[tuple[str, str, float | None]]:
-    """Pearson r of every pair of columns over the complete rows.
-
-    One aggregate holds the standard deviations and the covariances of up to
-    ``pairs_per_job`` pairs; r is NULL when a column does not vary.
-    """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    complete = frame.df.where(frame.all_present([c.pos for c in columns])).select(
-        *[frame.col(c.pos).cast("double").alias(f"c{c.pos}") for c in columns]
-    )
-    out = []
-    for start in range(0, len(pairs), pairs_per_job):
-        part = pairs[start : start + pairs_per_job]
-        used = sorted({c.pos for pair in part for c in pair})
-        row = complete.agg(
-            *[F.stddev_samp(f"c{p}").alias(f"s{p}") for p in used],
-            *[F.covar_samp(f"c{a.pos}", f"c{b.pos}").alias(f"v{i}") for i, (a, b) in enumerate(part)],
-        ).first()
-        for i, (a, b) in enumerate(part):
-            cov, spread = row[f"v{i}"], (row[f"s{a.pos}"] or 0.0) * (row[f"s{b.pos}"] or 0.0)
-            out.append((a.variable, b.variable, cov / spread if cov is not None and spread else None))
-    return out

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import first_match
-from plumbline.operators.gaps import pair_correlations, sequence_share, whole_columns
+from plumbline.operators.correlations import correlations
+from plumbline.operators.gaps import sequence_share, whole_columns
 from plumbline.operators.local import local_table
 from plumbline.operators.profile import Column_, Profile
 from plumbline.plans.readiness.measures import mean, outlier_columns, outlier_rates, scan
@@ -130,12 +131,10 @@ def obvious_id_table(profile: Profile) -> DataFrame:
 
 
 def strong_pairs(profile: Profile, columns: Sequence[Column_]) -> DataFrame:
-    """Correlation of every pair over complete rows; undefined r is NULL."""
-    rows = [
-        (a, b, None if r is None or r != r else r)
-        for a, b, r in pair_correlations(profile.frame, columns)
-    ]
-    table = local_table(profile.frame.df.sparkSession, rows, "variable_1 string, variable_2 string, r double")
+    """Correlation of every pair over complete rows, a distributed table; undefined r is NULL."""
+    names = local_table(profile.frame.df.sparkSession, [(c.pos, c.variable) for c in columns], "pos_1 int, variable_1 string")
+    table = correlations(profile.frame, columns).join(F.broadcast(names), "pos_1")
+    table = table.join(F.broadcast(names.toDF("pos_2", "variable_2")), "pos_2").select("variable_1", "variable_2", "r")
     # r is compared after rounding away the last digits of floating-point noise
     return table.withColumn("is_strong", F.coalesce(F.abs(F.round("r", 9)) >= STRONG_R, F.lit(False)))
 

@@ -2,7 +2,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from plumbline.operators.gaps import gap_stats, ordered_gaps, pair_correlations, sequence_share
+from plumbline.operators.gaps import gap_stats, ordered_gaps, sequence_share
 from plumbline.operators.profile import profile
 
 
@@ -58,11 +58,3 @@ def test_sequence_share_counts_unit_gaps(table):
     assert got[0] == (1.0, True)
     assert got[1] == (5 / 8, True)  # 0,1,2,10,20,21,30,31,32
     assert got[2][1] is False
-
-
-def test_pair_correlations_over_complete_rows(table):
-    cols = {"a": [1.0, 2.0, 3.0, 4.0, None], "b": [2.0, 4.0, 6.0, 8.0, 0.0], "c": [5.0] * 5}
-    p = profile(table(cols, "a double, b double, c double"))
-    (_, _, ab), (_, _, ac), _ = pair_correlations(p.frame, p.columns)
-    assert ab == pytest.approx(1.0)
-    assert ac is None or ac != ac
