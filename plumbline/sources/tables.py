@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from pathlib import PurePosixPath
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.split_csv import read_split
+
 # Encodings a caller may name, with the Java character set.
 ENCODINGS = {
     "UTF-8": "UTF-8",
@@ -28,7 +31,7 @@ class UnsupportedFormat(ValueError):
     """The file format is not one of csv, parquet, json, orc."""
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
+def detect_encoding(spark: SparkSession, path: str | list[str]) -> str:
     """UTF-8 when every line of the file is valid UTF-8 (with or without BOM), else CP949.
 
     CP949 contains EUC-KR, so nothing is left to try after it.  The test stops at the
@@ -41,7 +44,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     encoding: str = "UTF-8",
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
@@ -49,33 +52,50 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; only ``NA`` (and an empty field) is read as missing.
 
-    Quoted fields may hold commas, doubled quotes and line breaks.  A file that may hold
-    line breaks can't be split, so one task reads it: turn ``multi_line`` off for large
-    files without any.
+    Quoted fields may hold commas, doubled quotes and line breaks, and large files are still read by
+    many tasks (:mod:`plumbline.sources.split_csv`).  ``multi_line=False`` says that there are no line
+    breaks in fields.  ``encoding`` is ``auto`` (for each file its own), ``UTF-8``, ``UTF-8-BOM``,
+    ``CP949`` or ``EUC-KR``.  Give a schema for large inputs: inferring one reads the files once more.
+
+    Files whose quotes don't enclose whole fields, and calls with options other than ``sep``, are
+    read by Spark's own reader, one task a file if ``multi_line``.
+    """
+    if encoding != "auto" and encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding {encoding!r}, use one of {sorted(ENCODINGS)}")
+    paths = [path] if isinstance(path, str) else list(path)
+    parse = {
+        "nullValue": "NA",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": str(multi_line).lower(),
+        "preferDate": "false",
+        "timestampFormat": _NEVER,
+        "timestampNTZFormat": _NEVER,
+    }
+    plain = multi_line or encoding not in ("UTF-8", "UTF-8-BOM")  # Spark splits the rest itself
+    if plain and set(options) <= {"sep", "delimiter"}:
+        separator = str(options.get("sep", options.get("delimiter", ",")))
+        if len(separator) == 1:
+            split = read_split(spark, paths, encoding, schema, multi_line, {**parse, "sep": separator})
+            if split is not None:
+                return split
+    return _read_by_spark(spark, paths, encoding, schema, {**parse, **options})
+
+
+def _read_by_spark(
+    spark: SparkSession, paths: list[str], encoding: str, schema: T.StructType | str | None, options: dict[str, object]
+) -> DataFrame:
+    """Spark's reader, one encoding for all files.
 
-    ``encoding`` is ``auto``, ``UTF-8``, ``UTF-8-BOM``, ``CP949`` or ``EUC-KR``.  Give a
-    schema for large inputs, as inferring one costs a pass over the files.  The Korean
-    encodings need ``spark.sql.legacy.javaCharsets``, which Spark looks up whenever the
+    The Korean encodings need ``spark.sql.legacy.javaCharsets``, which Spark looks up whenever the
     table is scanned; it is therefore switched on in the session and stays on.
     """
     if encoding == "auto":
-        encoding = detect_encoding(spark, path)
-    if encoding not in ENCODINGS:
-        raise ValueError(f"unknown encoding {encoding!r}, use one of {sorted(ENCODINGS)}")
+        encoding = detect_encoding(spark, paths)
     if ENCODINGS[encoding] != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.options(
-        header=True,
-        nullValue="NA",
-        encoding=ENCODINGS[encoding],
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-        preferDate=False,
-        timestampFormat=_NEVER,
-        timestampNTZFormat=_NEVER,
-    ).options(**options)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    reader = spark.read.options(header=True, encoding=ENCODINGS[encoding]).options(**options)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
 
 
 def load_table(
