@@ -442,6 +442,18 @@ def _registry() -> dict[str, tuple]:
         {"time_var": "ts", "value_var": "value"},
         O.ready_timeseries(ev, "ts", "value"),
     )
+    series = ["quantity", "price", "net", "gross"]
+    roles = {"time_var": "l_shipdate", "value_vars": series}
+    r["time_gaps_columns"] = (
+        f"variable:s {O.GAP_OUT}",
+        lambda s, d: evaluate_readiness(_read("line_series", s, d), "time_series", roles).details["spacing"],
+        O.time_gaps_of(_c("line_series"), "l_shipdate", series),
+    )
+    r["ready_timeseries_columns"] = (
+        "purpose:s status:s score:d",
+        lambda s, d: evaluate_readiness(_read("line_series", s, d), "time_series", roles).result,
+        O.timeseries_rollup(_c("line_series"), "l_shipdate", series),
+    )
     covariates = ["l_discount", "l_linestatus", "l_tax"]
     r["ready_survival"] = _ready(
         "lineitem",

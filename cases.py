@@ -86,6 +86,17 @@ CASES = {
             ("l_tax", "l_tax", "d"),
         ),
     ),
+    # every value column misses other rows
+    "line_series": Case(
+        "lineitem",
+        (
+            ("l_shipdate", "l_shipdate", "t"),
+            ("CASE WHEN l_linenumber > 1 THEN l_quantity END", "quantity", "d"),
+            ("CASE WHEN l_returnflag = 'R' THEN l_extendedprice END", "price", "d"),
+            ("CASE WHEN l_orderkey < 40 THEN l_extendedprice * (1 - l_discount) END", "net", "d"),
+            ("l_extendedprice", "gross", "d"),
+        ),
+    ),
     "line_facts": plain("lineitem", "l_suppkey:i l_quantity:d l_returnflag:s"),
     "line_categories": plain("lineitem", "l_returnflag:s l_linestatus:s"),
     "events_special": Case(

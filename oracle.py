@@ -726,13 +726,35 @@ GAP_OUT = (
 )
 
 
-def time_gaps(case: Case, time: str) -> str:
+def time_gaps(case: Case, time: str, where: str = "true") -> str:
     return (
-        f"WITH {clean(case)}, {gap_cte(time)} SELECT *, CASE WHEN midnight THEN 'day' ELSE 'second' END AS unit, "
+        f"WITH {clean(case)}, {gap_cte(time, where)} SELECT *, CASE WHEN midnight THEN 'day' ELSE 'second' END AS unit, "
         "trading AS business_day_like FROM gs, unit"
     )
 
 
+def time_gaps_of(case: Case, time: str, values: list[str]) -> str:
+    """The spacing of several value columns, each on its own."""
+    return " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, * FROM ({time_gaps(case, time, f'{v} IS NOT NULL')})" for v in values
+    )
+
+
+def timeseries_rollup(case: Case, time: str, values: list[str]) -> str:
+    """Verdict over all value columns from the verdict of each."""
+    parts = [
+        f"SELECT item, CASE WHEN (SELECT bool_and(value = 1) FROM s{i} WHERE section = 'essential') THEN value END AS score "
+        f"FROM s{i} WHERE section = 'status'"
+        for i in range(len(values))
+    ]
+    sheets = ", ".join(f"s{i} AS ({ready_timeseries(case, time, v)})" for i, v in enumerate(values))
+    return (
+        f"WITH {sheets}, parts AS ({' UNION ALL '.join(parts)}), figures AS (SELECT count(*) AS n, count(*) FILTER (item = 'fit') AS fit, "
+        "count(*) FILTER (item = 'partly') AS partly, avg(score) AS score FROM parts) "
+        "SELECT 'time_series' AS purpose, CASE WHEN fit = n THEN 'fit' WHEN fit + partly > 0 THEN 'partly' ELSE 'unfit' END AS status, score FROM figures"
+    )
+
+
 def ready_timeseries(case: Case, time: str, value: str) -> str:
     figures = (
         "SELECT gs.n_rows AS n_valid, n_points, (gs.n_rows - n_points) / gs.n_rows AS repeat_share, gs.cv AS gap_cv, cv_raw AS gap_cv_raw, trading, "

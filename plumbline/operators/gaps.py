@@ -32,33 +32,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
 
 
-def ordered_gaps(
-    distinct: DataFrame, value: str, n: int, rows_per_task: int = ROWS_PER_TASK
+def previous_values(
+    points: DataFrame, series: Sequence[str], n: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Difference of every distinct value to the next smaller one (n - 1 rows, ``gap``).
-
-    The values are range-partitioned, each range is ordered on its own, and the first value
-    of a range takes its neighbour from the previous non-empty range; that edge table has
-    one row per range.  The ranged values are checkpointed, because both uses must see the
-    same range borders even if an executor is lost in between.
+    """Per series and row of ``points`` (distinct ``t``) the series' last value before, as ``p0``, ``p1``, ...
+
+    ``series`` names columns that rise with ``t`` and are NULL where the series has no value.  All of
+    them share one order: the rows are range-partitioned by ``t``, each range is ordered on its own,
+    and a series without an earlier value in a range takes it from an edge table that holds, per
+    range and series, the last value of all ranges before (one row per range).  The ranged rows are
+    checkpointed, because both uses must see the same range borders even if an executor is lost
+    in between; few rows are one range and need neither.
     """
-    ensure_checkpoint_dir(distinct.sparkSession)
+    earlier = (Window.unboundedPreceding, -1)
     ranges = max(1, -(-n // rows_per_task))
-    ranged = (
-        distinct.select(F.col(value).alias("v"))
-        .repartitionByRange(ranges, "v")
-        .select("v", F.spark_partition_id().alias("b"))
-        .checkpoint()
-    )
-    edges = ranged.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    edges = edges.select("b", F.lag("hi").over(Window.orderBy("lo")).alias("before"))
-    previous = F.lag("v").over(Window.partitionBy("b").orderBy("v"))
-    return (
-        ranged.withColumn("previous", previous)
-        .join(F.broadcast(edges), "b")
-        .select((F.col("v") - F.coalesce("previous", "before")).alias("gap"))
-        .where("gap IS NOT NULL")
-    )
+    if ranges == 1:
+        window = Window.orderBy("t").rowsBetween(*earlier)
+        return points.select("*", *[F.last(c, ignorenulls=True).over(window).alias(f"p{i}") for i, c in enumerate(series)])
+    ensure_checkpoint_dir(points.sparkSession)
+    ranged = points.repartitionByRange(ranges, "t").withColumn("b", F.spark_partition_id()).checkpoint()
+    edges = ranged.groupBy("b").agg(F.min("t").alias("lo"), *[F.max(c).alias(f"hi{i}") for i, c in enumerate(series)])
+    before = Window.orderBy("lo").rowsBetween(*earlier)
+    carried = [F.last(f"hi{i}", ignorenulls=True).over(before).alias(f"before{i}") for i in range(len(series))]
+    within = Window.partitionBy("b").orderBy("t").rowsBetween(*earlier)
+    last = [F.last(c, ignorenulls=True).over(within).alias(f"last{i}") for i, c in enumerate(series)]
+    joined = ranged.select("*", *last).join(F.broadcast(edges.select("b", *carried)), "b")
+    found = [F.coalesce(f"last{i}", f"before{i}").alias(f"p{i}") for i in range(len(series))]
+    return joined.select(*points.columns, *found)
+
+
+def ordered_gaps(
+    distinct: DataFrame, value: str, n: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Difference of every distinct value to the next smaller one (n - 1 rows, ``gap``)."""
+    points = distinct.select(F.col(value).alias("t"))
+    found = previous_values(points, ["t"], n, rows_per_task)
+    return found.select((F.col("t") - F.col("p0")).alias("gap")).where("gap IS NOT NULL")
 
 
 def time_value(frame: Frame, column: Column_) -> tuple[Column, bool]:
@@ -126,62 +135,72 @@ def gap_stats(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> GapStats:
     """Count, spread and regularity of the distinct time points (rows with a value)."""
-    points = time_points(frame, time_column, [F.lit(True) if value_present is None else value_present]).persist()
+    present = F.lit(True) if value_present is None else value_present
+    return series_gap_stats(frame, time_column, [present], rows_per_task)[0]
+
+
+def series_gap_stats(
+    frame: Frame, time_column: Column_, present: Sequence[Column], rows_per_task: int = ROWS_PER_TASK
+) -> list[GapStats]:
+    """:func:`gap_stats` of several series, one per condition, with the passes of a single one."""
+    if not present:
+        return []
+    points = time_points(frame, time_column, present).persist()
     try:
-        return gaps_of_points(frame, time_column, points, "n0", rows_per_task)
+        return _spacings(frame, time_column, points, len(present), rows_per_task)
     finally:
         points.unpersist()
 
 
-def gaps_of_points(
-    frame: Frame, time_column: Column_, points: DataFrame, count: str, rows_per_task: int = ROWS_PER_TASK
-) -> GapStats:
-    """The spacing of those :func:`time_points` whose ``count`` is not zero."""
-    in_seconds = time_value(frame, time_column)[1]
-    points = points.where(F.col(count) > 0)
-    head = points.agg(
-        F.coalesce(F.sum(count), F.lit(0)).alias("n_rows"),
-        F.count(F.lit(1)).alias("n_points"),
-        F.bool_and(F.pmod(F.col("civil"), F.lit(DAY)) == 0).alias("midnight"),
-    ).first()
-    unit = "number"
-    if in_seconds:
-        unit = "day" if head["midnight"] else "second"
-    if head["n_points"] < 3:
-        return GapStats(
-            head["n_rows"], head["n_points"], unit, None, None, None, None, None, None, None, False
-        )
-    axis = points.select((F.col("civil") / F.lit(DAY)) if unit == "day" else F.col("t"))
-    gaps = ordered_gaps(axis.toDF("v"), "v", head["n_points"], rows_per_task).persist()
-    stats = gaps.agg(
-        F.avg("gap").alias("mean"),
-        F.stddev_samp("gap").alias("sd"),
-        F.min("gap").alias("smallest"),
-        F.avg(F.col("gap").between(1, 4).cast("double")).alias("small_share"),
-    ).first()
-    median = quantiles(gaps, {"gap": head["n_points"] - 1}, [0.5])["gap"][0]
-    gaps.unpersist()
-    mean, sd = stats["mean"], stats["sd"]
-    cv = 0.0 if not mean or sd is None else sd / mean
-    trading = bool(
-        time_column.is_time_candidate
-        and stats["smallest"] >= 1
-        and median <= 1.5
-        and stats["small_share"] >= 0.60
-    )
-    return GapStats(
-        head["n_rows"],
-        head["n_points"],
-        unit,
-        mean,
-        sd,
-        stats["smallest"],
-        median,
-        stats["small_share"],
-        cv,
-        min(cv, 0.05) if trading else cv,
-        trading,
-    )
+def _spacings(
+    frame: Frame, time_column: Column_, points: DataFrame, n_series: int, rows_per_task: int
+) -> list[GapStats]:
+    """The spacing of each series among the :func:`time_points`: those with a count ``n<i>`` above zero."""
+    in_seconds, series = time_value(frame, time_column)[1], range(n_series)
+    tests = [F.count(F.lit(1)).alias("points")]
+    for i in series:
+        has = F.col(f"n{i}") > 0
+        tests += [
+            F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"rows{i}"),
+            F.count_if(has).alias(f"points{i}"),
+            F.bool_and(F.when(has, F.pmod(F.col("civil"), F.lit(DAY)) == 0)).alias(f"midnight{i}"),
+        ]
+    head = points.agg(*tests).first()
+    units = ["number" if not in_seconds else "day" if head[f"midnight{i}"] else "second" for i in series]
+    long = [i for i in series if head[f"points{i}"] >= 3]
+    found: dict[int, GapStats] = {}
+    if long:
+        axis = [
+            F.when(F.col(f"n{i}") > 0, F.col("civil") / F.lit(DAY) if units[i] == "day" else F.col("t")).alias(f"x{i}")
+            for i in long
+        ]
+        ordered = previous_values(points.select("t", *axis), [f"x{i}" for i in long], head["points"], rows_per_task)
+        gaps = ordered.select(*[(F.col(f"x{i}") - F.col(f"p{k}")).alias(f"gap{i}") for k, i in enumerate(long)]).persist()
+        figures = []
+        for i in long:
+            gap = F.col(f"gap{i}")
+            figures += [
+                F.avg(gap).alias(f"mean{i}"),
+                F.stddev_samp(gap).alias(f"sd{i}"),
+                F.min(gap).alias(f"smallest{i}"),
+                F.avg(gap.between(1, 4).cast("double")).alias(f"small{i}"),
+            ]
+        stats = gaps.agg(*figures).first()
+        medians = quantiles(gaps, {f"gap{i}": head[f"points{i}"] - 1 for i in long}, [0.5])
+        gaps.unpersist()
+        for i in long:
+            mean, sd, median = stats[f"mean{i}"], stats[f"sd{i}"], medians[f"gap{i}"][0]
+            cv = 0.0 if not mean or sd is None else sd / mean
+            small = stats[f"small{i}"]
+            trading = bool(
+                time_column.is_time_candidate and stats[f"smallest{i}"] >= 1 and median <= 1.5 and small >= 0.60
+            )
+            found[i] = GapStats(
+                head[f"rows{i}"], head[f"points{i}"], units[i], mean, sd, stats[f"smallest{i}"], median, small,
+                cv, min(cv, 0.05) if trading else cv, trading,
+            )
+    short = [None] * 7
+    return [found.get(i) or GapStats(head[f"rows{i}"], head[f"points{i}"], units[i], *short, False) for i in series]
 
 
 def whole_columns(frame: Frame, columns: Sequence[Column_]) -> list[Column_]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import first_match
-from plumbline.operators.gaps import GapStats, gap_stats, gaps_of_points, time_points
+from plumbline.operators.gaps import GapStats, gap_stats, series_gap_stats
 from plumbline.operators.local import local_table
 from plumbline.operators.outliers import iqr_outliers
 from plumbline.operators.profile import Column_, Profile
@@ -116,14 +116,11 @@ def series_figures(
 
 
 def series_gaps(profile: Profile, time: Column_ | None, values: Sequence[Column_]) -> dict[str, GapStats]:
-    """Spacing of the times at which each value column has a value; the table is scanned once."""
+    """Spacing of the times at which each value column has a value, in the passes of one column."""
     if time is None:
         return {}
-    points = time_points(profile.frame, time, [profile.frame.present(v.pos) for v in values]).persist()
-    try:
-        return {v.variable: gaps_of_points(profile.frame, time, points, f"n{i}") for i, v in enumerate(values)}
-    finally:
-        points.unpersist()
+    present = [profile.frame.present(v.pos) for v in values]
+    return {v.variable: s for v, s in zip(values, series_gap_stats(profile.frame, time, present))}
 
 
 def spacing_table(spark: SparkSession, gaps: dict[str, GapStats]) -> DataFrame:

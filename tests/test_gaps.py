@@ -2,7 +2,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from plumbline.operators.gaps import gap_stats, ordered_gaps, sequence_share
+from plumbline.operators.gaps import gap_stats, ordered_gaps, sequence_share, series_gap_stats
 from plumbline.operators.profile import profile
 
 
@@ -58,3 +58,33 @@ def test_sequence_share_counts_unit_gaps(table):
     assert got[0] == (1.0, True)
     assert got[1] == (5 / 8, True)  # 0,1,2,10,20,21,30,31,32
     assert got[2][1] is False
+
+
+def test_several_series_equal_one_at_a_time(spark):
+    """Also over many small ranges, some of which hold no point of a series."""
+    rows = [(i * i % 977, i % 3 or None, i if i < 20 else None, i if i in (5, 700) else None, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "t int, a int, b int, c int, d int").repartition(4)
+    p = profile(df)
+    present = [p.frame.present(p.named(n).pos) for n in "abcd"]
+    single = [gap_stats(p.frame, p.named("t"), ok) for ok in present]
+    assert [s.n_points >= 3 for s in single] == [True, True, False, True]
+    for limit in (10**6, 50, 7):
+        found = series_gap_stats(p.frame, p.named("t"), present, limit)
+        for one, many in zip(single, found):
+            assert (one.n_rows, one.n_points, one.unit, one.smallest, one.median) == (
+                many.n_rows, many.n_points, many.unit, many.smallest, many.median)
+            assert many.mean == pytest.approx(one.mean) and many.sd == pytest.approx(one.sd)
+
+
+def test_four_series_take_the_jobs_of_one(spark, monkeypatch):
+    """Aggregates and ordered passes are counted where they are asked for."""
+    from plumbline.operators import gaps as G
+
+    df = spark.range(300).selectExpr("CAST(id AS INT) AS t", *[f"IF(id % {k} = 0, NULL, id) AS v{k}" for k in (3, 4, 5, 7)])
+    p = profile(df)
+    calls = []
+    for name in ("time_points", "previous_values", "quantiles"):
+        kept = getattr(G, name)
+        monkeypatch.setattr(G, name, lambda *a, kept=kept, name=name, **k: calls.append(name) or kept(*a, **k))
+    G.series_gap_stats(p.frame, p.named("t"), [p.frame.present(i) for i in range(1, 5)])
+    assert sorted(calls) == ["previous_values", "quantiles", "time_points"]
