@@ -203,6 +203,12 @@ def _spacings(
     return [found.get(i) or GapStats(head[f"rows{i}"], head[f"points{i}"], units[i], *short, False) for i in series]
 
 
+#: Whole numbers up to here have an exact successor as a double.
+LARGEST_EXACT = float(1 << 53)
+#: New values per bucket of a sequence; a bucket's last bit repeats the first of the next one.
+BUCKET = 63
+
+
 def whole_columns(frame: Frame, columns: Sequence[Column_]) -> list[Column_]:
     """The columns that hold whole numbers only: one aggregate, no shuffle of values."""
     tests = [
@@ -212,11 +218,50 @@ def whole_columns(frame: Frame, columns: Sequence[Column_]) -> list[Column_]:
     return [c for c in columns if row[f"w{c.pos}"]]
 
 
+def sequence_buckets(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
+    """(pos, bucket, bits, whole): which of 63 neighbouring whole numbers occur in a column, as bits.
+
+    Bits are combined before the shuffle, so a dense column costs one short row per 63 values.  A
+    number that opens a bucket is also the last bit of the bucket before: every pair of neighbours
+    lies in one bucket.
+    """
+    cells = []
+    for c in columns:
+        v = frame.finite(c.pos)
+        known = F.when(F.abs(v) <= LARGEST_EXACT, F.floor(v).cast("bigint"))
+        bit = F.pmod(known, F.lit(BUCKET)).cast("int")
+        bucket = F.floor((known - bit) / BUCKET).cast("bigint")
+        one = F.lit(1).cast("bigint")
+        whole = (v == F.floor(v)) & (F.abs(v) <= LARGEST_EXACT)
+        own = (bucket, F.call_function("shiftleft", one, bit), whole)
+        carried = (F.when(bit == 0, bucket - 1), F.lit(-1 << 63).cast("bigint"), whole)
+        for b, m, w in (own, carried):
+            cells.append(F.struct(F.lit(c.pos).alias("pos"), b.alias("bucket"), m.alias("bits"), w.alias("whole"), v.alias("v")))
+    rows = frame.df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    # a number beyond the exact ones keeps its row, to tell that the column isn't settled here
+    rows = rows.where("v IS NOT NULL AND (bucket IS NOT NULL OR NOT whole)")
+    return rows.groupBy("pos", "bucket").agg(F.bit_or("bits").alias("bits"), F.bool_and("whole").alias("whole"))
+
+
 def sequence_share(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
-    """Share of neighbouring distinct values that differ by exactly one, per column.
+    """Share of neighbouring distinct whole values that differ by exactly one, per column.
 
-    No ordering is needed: a gap of one at v exists when v - 1 is present as well, so
-    every value is marked at v and at v + 1 and the marks meet in a hash aggregate.
+    No ordering is needed: a bucket's bits and the same bits moved by one have the pairs in common.
+    ``whole`` is false, and the share without meaning, if a value isn't whole or beyond 2^53.
+    """
+    bits = F.when(F.col("bucket").isNotNull(), F.col("bits")).otherwise(F.lit(0).cast("bigint"))
+    pairs = F.bit_count(bits.bitwiseAND(F.shiftrightunsigned(bits, 1)))
+    values = F.bit_count(bits.bitwiseAND(F.lit((1 << 63) - 1)))
+    return sequence_buckets(frame, columns).groupBy("pos").agg(
+        V.ratio(F.sum(pairs), F.sum(values) - F.lit(1)).alias("sequence_share"), F.bool_and("whole").alias("whole")
+    )
+
+
+def sequence_share_of_huge(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
+    """The same for values beyond 2^53, whose successor as a double may be themselves.
+
+    A gap of one at v exists when v - 1 is present as well, so every value is marked at v and at
+    v + 1 and the marks meet in a hash aggregate.
     """
     marks = F.explode(
         F.array(
@@ -228,16 +273,8 @@ def sequence_share(frame: Frame, columns: Sequence[Column_]) -> DataFrame:
             ]
         )
     )
-    met = (
-        frame.df.select(marks.alias("x"))
-        .select("x.*")
-        .where("v IS NOT NULL")
-        .groupBy("pos", "v")
-        .agg(F.bit_or("m").alias("m"))
-    )
+    rows = frame.df.select(marks.alias("x")).select("x.*").where("v IS NOT NULL")
+    met = rows.groupBy("pos", "v").agg(F.bit_or("m").alias("m"))
     return met.groupBy("pos").agg(
-        V.ratio(
-            F.count_if(F.col("m") == 3), F.count_if(F.col("m").isin(1, 3)) - F.lit(1)
-        ).alias("sequence_share"),
-        F.bool_and(F.when(F.col("m").isin(1, 3), F.col("v") == F.floor("v"))).alias("whole"),
+        V.ratio(F.count_if(F.col("m") == 3), F.count_if(F.col("m").isin(1, 3)) - F.lit(1)).alias("sequence_share")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import first_match
 from plumbline.operators.correlations import correlations
-from plumbline.operators.gaps import sequence_share, whole_columns
+from plumbline.operators.gaps import sequence_share, sequence_share_of_huge, whole_columns
 from plumbline.operators.local import local_table
 from plumbline.operators.profile import Column_, Profile
 from plumbline.plans.readiness.measures import mean, outlier_columns, outlier_rates, scan
@@ -116,7 +116,13 @@ def obvious_ids(profile: Profile, columns: Sequence[Column_]) -> dict[int, bool]
     ]
     whole = whole_columns(profile.frame, check) if check else []
     if whole:  # one row per column comes back
+        huge = []
         for row in sequence_share(profile.frame, whole).collect():
+            if row["whole"]:
+                found[row["pos"]] = row["sequence_share"] >= 0.9
+            else:
+                huge += [c for c in whole if c.pos == row["pos"]]
+        for row in sequence_share_of_huge(profile.frame, huge).collect() if huge else ():
             found[row["pos"]] = row["sequence_share"] >= 0.9
     return found
 

@@ -1,9 +1,12 @@
+import random
 from datetime import date, timedelta
 
 import pytest
 
-from plumbline.operators.gaps import gap_stats, ordered_gaps, sequence_share, series_gap_stats
+from plumbline.operators.gaps import gap_stats, ordered_gaps, sequence_buckets, sequence_share
+from plumbline.operators.gaps import sequence_share_of_huge, series_gap_stats
 from plumbline.operators.profile import profile
+from plumbline.plans.readiness.clustering import obvious_ids
 
 
 def business_days(n, start=date(2024, 1, 1)):
@@ -88,3 +91,41 @@ def test_four_series_take_the_jobs_of_one(spark, monkeypatch):
         monkeypatch.setattr(G, name, lambda *a, kept=kept, name=name, **k: calls.append(name) or kept(*a, **k))
     G.series_gap_stats(p.frame, p.named("t"), [p.frame.present(i) for i in range(1, 5)])
     assert sorted(calls) == ["previous_values", "quantiles", "time_points"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sequences_equal_brute_force(spark, seed):
+    draw = random.Random(seed)
+    kinds = [
+        [draw.randrange(-200, 200) for _ in range(300)],  # dense, over many borders of buckets
+        [v for v in range(-130, 130) if draw.random() < 0.9],
+        [draw.randrange(-(10**12), 10**12) for _ in range(200)],
+        [63 * i + d for i in range(-3, 4) for d in (-1, 0, 62)],
+        [(1 << 53) - i for i in range(30)] + [-(1 << 53)],
+        [5],
+    ]
+    n = max(map(len, kinds))
+    rows = list(zip(*[[float(v) for v in k] + [None] * (n - len(k)) for k in kinds]))
+    p = profile(spark.createDataFrame(rows, ", ".join(f"v{i} double" for i in range(len(kinds)))).repartition(3))
+    got = {r["pos"]: r for r in sequence_share(p.frame, p.columns).collect()}
+    for pos, values in enumerate(kinds):
+        values = sorted(set(values))
+        near = sum(b - a == 1 for a, b in zip(values, values[1:]))
+        assert got[pos]["whole"]
+        assert got[pos]["sequence_share"] == (near / (len(values) - 1) if len(values) > 1 else 0)
+
+
+def test_a_dense_column_is_one_row_per_bucket(spark):
+    p = profile(spark.range(6300).selectExpr("id AS v"))
+    rows = sequence_buckets(p.frame, p.columns).collect()
+    assert len(rows) == 101 and all(r["whole"] for r in rows)  # the first bit is carried to a bucket of its own
+
+
+def test_values_beyond_exact_doubles(spark):
+    values = [float(1 << 60) + 256.0 * i for i in range(40)]
+    p = profile(spark.createDataFrame([(v, float(i)) for i, v in enumerate(values)], "v double, w double"))
+    got = {r["pos"]: r["whole"] for r in sequence_share(p.frame, p.columns).collect()}
+    assert got == {0: False, 1: True}
+    huge = sequence_share_of_huge(p.frame, p.columns[:1]).first()["sequence_share"]
+    assert huge == 40 / 39  # v + 1 is v for every one of them, as with doubles anywhere
+    assert obvious_ids(p, p.columns) == {0: True, 1: True}
