@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,8 +19,13 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracle as O  # noqa: E402
 from cases import CASES, Case  # noqa: E402
 from plumbline.operators.clean import frame_of, standardize  # noqa: E402
-from plumbline.operators.duplicates import duplicate_positions, duplicate_summary  # noqa: E402
+from plumbline.operators.duplicates import (  # noqa: E402
+    duplicate_positions,
+    duplicate_summary,
+    with_row_position,
+)
 from plumbline.operators.outliers import box_summary, iqr_outliers  # noqa: E402
+from plumbline.operators.shared import ensure_checkpoint_dir  # noqa: E402
 from plumbline.operators.profile import (  # noqa: E402
     column_summary,
     profile,
@@ -31,8 +37,11 @@ from plumbline.plans import quality as Q  # noqa: E402
 from plumbline.plans.quality import assess_data_quality  # noqa: E402
 from plumbline.plans.readiness import evaluate_readiness  # noqa: E402
 from plumbline.plans.readiness.clustering import check_clustering, obvious_id_table, strong_pairs  # noqa: E402
+from plumbline.plans.readiness.dispatch import selected_roles  # noqa: E402
+from plumbline.plans.readiness.eda import has_two_numeric  # noqa: E402
 from plumbline.plans.readiness.hypothesis import candidates_of, check_hypothesis  # noqa: E402
 from plumbline.plans.readiness.timeseries import gap_table  # noqa: E402
+from plumbline.sources.tables import UnsupportedFormat, load_table, preview  # noqa: E402
 
 SPARK_TYPES = {"i": "bigint", "d": "double", "s": "string", "b": "boolean"}
 CODES = (1, 17)
@@ -262,6 +271,18 @@ def _registry() -> dict[str, tuple]:
         lambda s, d: duplicate_positions(_read("embeddings", s, d), ["vec_id"]),
         "SELECT vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY embedding, label ORDER BY vec_id) > 1",
     )
+    # positions in file order
+    r["row_positions"] = (
+        "conv_id:i turn:i role:s text:s position:i",
+        lambda s, d: with_row_position(_read("conversations", s, d)),
+        "SELECT *, row_number() OVER () AS position FROM conversations",
+    )
+    r["duplicate_positions_file_order"] = (
+        "position:i",
+        lambda s, d: duplicate_positions(with_row_position(_read("documents", s, d).select("text", "lang")), ["position"]),
+        "SELECT position FROM (SELECT *, row_number() OVER () AS position FROM documents) "
+        "QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY position) > 1",
+    )
     points = O.steps("dup_rate", "<", [(0.01, 15), (0.05, 12), (0.1, 8), (0.2, 4)])
     r["duplicate_relaxed"] = (
         "n_rows:i duplicate_count:i duplicate_percent:d raw_score:i score:i relaxed:b",
@@ -369,6 +390,38 @@ def _registry() -> dict[str, tuple]:
         f"total_score, final_status, grade FROM ({O.SCORE})",
     )
 
+    # the table written as CSV and read back by byte ranges; texts hold line breaks, quotes and commas
+    r["csv_documents"] = (
+        "doc_id:i text:s lang:s source:s n_chars:i",
+        lambda s, d: load_table(s, _as_csv(_read("documents", s, d)), "csv"),
+        "SELECT doc_id, nullif(text, 'NA') AS text, lang, source, n_chars FROM documents",
+    )
+    r["preview"] = (
+        "doc_id:i text:s lang:s source:s n_chars:i",
+        lambda s, d: preview(_read("documents", s, d).orderBy("doc_id")),
+        "SELECT * FROM documents ORDER BY doc_id LIMIT 10",
+    )
+    r["unsupported_format"] = (
+        "name:s supported:b",
+        lambda s, d: _supported(s, d),
+        "SELECT unnest(['orders.parquet', 'orders.xlsx', 'orders']) AS name, unnest([true, false, false]) AS supported "
+        "WHERE (SELECT count(*) FROM orders) > 0",
+    )
+    r["two_numeric"] = (
+        "chosen:s enough:b",
+        lambda s, d: _two_numeric(s, d),
+        f"WITH {O.profile(li)} SELECT chosen, (SELECT count(*) FROM types WHERE vt = 'numeric' AND list_contains(names, variable)) >= 2 AS enough "
+        "FROM (SELECT 'all' AS chosen, (SELECT list(variable) FROM types) AS names UNION ALL SELECT 'one', ['l_quantity', 'l_returnflag'] "
+        "UNION ALL SELECT 'two', ['l_quantity', 'l_discount'])",
+    )
+    r["role_echo"] = (
+        "role:s variable:s",
+        lambda s, d: _role_echo(s, d),
+        f"WITH {O.profile(_c('line_facts'))} SELECT 'survival_time' AS role, variable FROM types WHERE variable = 'l_quantity' "
+        "UNION ALL SELECT 'event', variable FROM types WHERE variable = 'l_returnflag' "
+        "UNION ALL SELECT 'covariate', variable FROM types WHERE variable IN ('l_suppkey')",
+    )
+
     # readiness
     r["ready_eda"] = _ready("orders_dirty", "basic_stats", {}, O.ready_eda(od, ORDERS_USABLE))
     r["ready_eda_events"] = _ready("events_special", "visualization", {}, O.ready_eda(ev, EVENTS_USABLE))
@@ -509,6 +562,39 @@ def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.union(lines.where("l_orderkey % 50 = 0"))
 
 
+def _as_csv(df: DataFrame) -> str:
+    """Write a table as CSV to the shared folder; every text is quoted."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext.getCheckpointDir()
+    path = f"{folder}/csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names ``load_table`` takes for a format."""
+    rows = []
+    for name in ("orders.parquet", "orders.xlsx", "orders"):
+        try:
+            rows.append((name, load_table(spark, f"{sf_dir}/{name}").limit(1).count() == 1))
+        except UnsupportedFormat:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "name string, supported boolean")
+
+
+def _two_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiled = profile(_read("lineitem", spark, sf_dir))
+    chosen = {"all": (), "one": ("l_quantity", "l_returnflag"), "two": ("l_quantity", "l_discount")}
+    return spark.createDataFrame([(k, has_two_numeric(profiled, v)) for k, v in chosen.items()], "chosen string, enough boolean")
+
+
+def _role_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen roles of a purpose, as far as the table has their columns."""
+    roles = {"survival_time_var": "l_quantity", "event_var": " l_returnflag ", "covariates": ["l_suppkey", "l_suppkey", ""]}
+    columns = variable_types(_read("line_facts", spark, sf_dir)).select("variable")
+    return selected_roles(spark, "survival", roles).join(columns, "variable").select("role", "variable")
+
+
 def _embedding_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return df.selectExpr(*[f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(64)])

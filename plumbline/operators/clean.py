@@ -13,6 +13,10 @@ from plumbline.functions import values as V
 from plumbline.functions.rules import literal
 
 
+class BadInput(ValueError):
+    """A call names a column that the table lacks, or gives something that is no name."""
+
+
 #: Longer chains of conditions become arrays.
 LONGEST_CHAIN = 64
 
@@ -77,10 +81,12 @@ class Frame:
         return V.finite_double(self.col(position), self.dtypes[position])
 
     def position(self, name: str) -> int:
+        if name not in self.names:
+            raise BadInput(f"no column {name!r}")
         return self.names.index(name)
 
     def positions(self, names: Iterable[str]) -> list[int]:
-        return [self.names.index(n) for n in names]
+        return [self.position(n) for n in names]
 
     def _combined(self, positions: Sequence[int], word: str, deciding: str) -> Column:
         """The presence tests joined by AND or OR; ``deciding`` is the outcome that settles it.
@@ -123,6 +129,8 @@ def clean_names(names: object) -> list[str]:
     """Flatten, trim, drop blanks and repeats from a selection of column names."""
     if names is None:
         return []
+    if not isinstance(names, (str, list, tuple, set, frozenset)):
+        raise BadInput(f"a column name or a list of them was expected, not {names!r}")
     items = [names] if isinstance(names, str) else list(names)
     out: list[str] = []
     for item in items:

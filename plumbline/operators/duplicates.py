@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import values as V
 from plumbline.operators.clean import Frame, normalized
-from plumbline.operators.local import local_table
+from plumbline.operators.shared import ensure_checkpoint_dir
 
+#: Rows of a repeated key that are written out by one step.
+ROWS_PER_STEP = 1 << 16
 
 # Nested values as text keep microseconds and say which fields are NULL.
 _EXACT = (
@@ -64,13 +67,15 @@ def duplicate_positions(
     order_by: Sequence[str],
     compare: Sequence[str] | None = None,
     user_missing_codes: Sequence[object] | None = None,
+    rows_per_step: int = ROWS_PER_STEP,
 ) -> DataFrame:
     """Keys of every row that repeats an earlier row in the ``compare`` columns.
 
     ``order_by`` names the columns that give the order of the rows (add one with
     :func:`with_row_position` when the table has none).  The first key of each group is
     found with a mergeable ``min``, and one row with that key is the first; so keys may
-    repeat, and one huge group of copies never meets in a task.
+    repeat, and one huge group of copies never meets in a task.  A key that repeats is written out
+    in steps of ``rows_per_step`` rows, which are dealt to all tasks before they become rows.
     """
     names = list(df.columns)
     compare = [n for n in names if n not in order_by] if compare is None else list(compare)
@@ -90,29 +95,68 @@ def duplicate_positions(
     later = counted.join(firsts, ["h1", "h2"]).withColumn(
         "later", F.col("copies") - F.col("key").eqNullSafe(F.col("first")).cast("bigint")
     )
-    rows = later.where("later > 0").select("key", F.explode(F.sequence(F.lit(1).cast("bigint"), "later")))
+    rows = _written_out(later.where("later > 0").select("key", "later"), rows_per_step).select("key")
     cells = [F.col("key") if len(keys) == 1 else F.col(f"key.k{i}") for i in range(len(keys))]
     return rows.select(*[cell.alias(name) for cell, name in zip(cells, order_by)])
 
 
+def _written_out(counted: DataFrame, rows_per_step: int) -> DataFrame:
+    """``later`` rows per row of ``counted``, by way of steps that any task may take.
+
+    The first expansion has one row per step, the second at most ``rows_per_step`` rows; neither
+    builds an array as long as the count.
+    """
+    one, size = F.lit(1).cast("bigint"), F.lit(rows_per_step).cast("bigint")
+    steps = counted.withColumn("step", F.explode(F.sequence(one, F.ceil(F.col("later") / size))))
+    left = F.least(size, F.col("later") - (F.col("step") - 1) * size)
+    dealt = steps.select("key", "step", left.alias("left")).repartition("key", "step")
+    return dealt.select("key", F.explode(F.sequence(one, "left")))
+
+
+def _places(df: DataFrame, *names: str) -> DataFrame | None:
+    """``df`` with the named places of its rows in their files as _f0, _f1, ...; None if it has none."""
+    try:
+        return df.select("*", *[F.col("_metadata")[n].alias(f"_f{i}") for i, n in enumerate(names)])
+    except AnalysisException:
+        return None
+
+
+def _offsets(rows: DataFrame, keys: Sequence[str], index: str) -> tuple[DataFrame, bool]:
+    """Per key the rows before it, in the order of the keys, and whether ``index`` counts each key's rows without a gap."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(index).alias("_low"), F.max(index).alias("_high"))
+    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_offset", F.coalesce(before, F.lit(0)))
+    whole = sizes.agg(F.bool_and(F.col("_high") - F.col("_low") + 1 == F.col("_n")).alias("whole")).first()["whole"]
+    return sizes.select(*keys, "_low", "_offset"), whole is not False
+
+
 def with_row_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """Number the rows 1..n in file order without moving them to one task.
+    """Number the rows 1..n in file order (files by path) without moving them to one task.
 
-    Only one row count per input partition is gathered (bounded by the partitions of
-    the scan); the running offsets go back as a broadcast of that size.
+    Rows of Parquet files carry their index, so positions are the same whatever the splits, and any
+    task that is run again finds the same ones.  Rows of other files are numbered within their byte
+    range, rows without files within their partition; such a number depends on the run, and the
+    numbered rows are therefore checkpointed before they are used twice.  Only one row per file,
+    range or partition goes into the running sums and back as a broadcast.
     """
-    tagged = df.withColumn("_tag", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_tag"), 33)
-    sizes = tagged.groupBy(part.alias("_part")).count().orderBy("_part").collect()
-    offset, rows = 0, []
-    for row in sizes:
-        rows.append((row["_part"], offset))
-        offset += row["count"]
-    offsets = local_table(df.sparkSession, rows, "_part bigint, _offset bigint")
-    within = F.col("_tag") - F.shiftleft(F.col("_part"), 33)
-    return (
-        tagged.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + within + F.lit(1))
-        .drop("_tag", "_part", "_offset")
-    )
+    indexed = _places(df, "file_path", "row_index")
+    if indexed is not None:
+        offsets, whole = _offsets(indexed.select("_f0", "_f1"), ["_f0"], "_f1")
+        if whole:  # no row was left out between the files and here
+            place = F.col("_offset") + F.col("_f1") - F.col("_low") + 1
+            return indexed.join(F.broadcast(offsets), "_f0").select(*_quoted(df), place.alias(name))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = _places(df, "file_path", "file_block_start")
+    if ranged is None:
+        ranged = df.withColumns({"_f0": F.lit(""), "_f1": F.lit(0)})
+    tagged = ranged.withColumn("_tag", F.monotonically_increasing_id()).checkpoint()
+    offsets, whole = _offsets(tagged, ["_f0", "_f1"], "_tag")
+    if not whole:  # ranges were shuffled since they were read
+        tagged = tagged.withColumns({"_f0": F.lit(""), "_f1": F.shiftright("_tag", 33)})
+        offsets, _ = _offsets(tagged, ["_f0", "_f1"], "_tag")
+    place = F.col("_offset") + F.col("_tag") - F.col("_low") + 1
+    return tagged.join(F.broadcast(offsets), ["_f0", "_f1"]).select(*_quoted(df), place.alias(name))
+
+
+def _quoted(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

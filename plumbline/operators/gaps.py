@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,24 +13,12 @@ from plumbline.functions import values as V
 from plumbline.operators.clean import Frame
 from plumbline.operators.profile import Column_
 from plumbline.operators.quartiles import quantiles
+from plumbline.operators.shared import ensure_checkpoint_dir
 
 ROWS_PER_TASK = 1_000_000
 DAY = float(V.SECONDS_PER_DAY)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder; only a local session without one gets its own."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named and (not context.master.startswith("local") or context.master.startswith("local-")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-
-
 def previous_values(
     points: DataFrame, series: Sequence[str], n: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.clean import clean_names
+from plumbline.operators.clean import BadInput, clean_names
 from plumbline.operators.local import local_table
 from plumbline.operators.profile import Profile, profile
 from plumbline.plans.readiness.clustering import check_clustering
@@ -171,8 +171,8 @@ def evaluate_readiness(
 
     The table is judged as it was read (user missing codes are not applied).  An unknown
     or empty purpose gives "unselected"; input that can't be judged (an unknown role or
-    column, a wrong type) gives "unfit" with the error as message.  Errors of a running job
-    say nothing about the data and are raised.
+    column, a wrong type) gives "unfit" with the error as message.  Errors of a running job, of
+    the session's settings and of this library say nothing about the data and are raised.
     """
     session = spark or (
         data.frame.df.sparkSession if isinstance(data, Profile) else data.sparkSession if data is not None else SparkSession.active()
@@ -184,10 +184,12 @@ def evaluate_readiness(
     if purpose not in CHECKS:
         return _plain(session, purpose, "unselected", "secondary", None, "unknown_purpose")
     try:
+        if not isinstance(roles or {}, Mapping):
+            raise BadInput(f"roles are names with columns, not {roles!r}")
         chosen = dict(roles or {})
         profiled = data if isinstance(data, Profile) else _profile_for(data, purpose, chosen)
         return CHECKS[purpose](profiled, chosen)
-    except (AnalysisException, LookupError, TypeError, ValueError) as error:
+    except (AnalysisException, BadInput) as error:
         return _plain(session, purpose, "unfit", "danger", 0.0, f"error: {error}")
 
 

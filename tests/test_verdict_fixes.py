@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.clean import frame_of, standardize
-from plumbline.operators.duplicates import duplicate_positions, duplicate_summary
+from plumbline.operators.duplicates import duplicate_positions, duplicate_summary, with_row_position
 from plumbline.operators.gaps import ensure_checkpoint_dir, gap_stats
 from plumbline.operators.profile import profile
 from plumbline.plans.readiness import evaluate_readiness
@@ -93,3 +93,54 @@ def test_checkpoint_folder_is_never_machine_local_on_a_cluster(spark, monkeypatc
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session)
+
+
+def test_errors_of_settings_and_of_the_library_are_raised(spark, monkeypatch):
+    from plumbline.operators.shared import MissingSetting
+    from plumbline.plans.readiness import dispatch
+
+    df = spark.range(50).selectExpr("id AS t", "CAST(id * 7 % 11 AS DOUBLE) AS v")
+    for error in (MissingSetting("set spark.checkpoint.dir"), KeyError("own fault"), TypeError("own fault"), ValueError("own fault")):
+
+        def broken(*_, error=error):
+            raise error
+
+        monkeypatch.setitem(dispatch.CHECKS, "time_series", broken)
+        with pytest.raises(type(error)):
+            evaluate_readiness(df, "time_series", {"time_var": "t", "value_var": "v"})
+    monkeypatch.undo()
+    for roles in ({"response_var": 5}, ["v"], {"response_var": "absent"}, {"response_var": None}):
+        verdict = evaluate_readiness(df, "regression", roles)
+        assert verdict.result.first().status == "unfit"
+
+
+def test_a_repeated_key_is_written_out_in_steps(spark):
+    df = spark.range(1000).selectExpr("IF(id < 900, 1, id) AS k", "IF(id < 990, 'hot', 'other') AS v")
+    found = duplicate_positions(df, ["k"], ["v"], rows_per_step=7)
+    assert sorted(r.k for r in found.collect()) == [1] * 899 + list(range(900, 990)) + list(range(991, 1000))
+    sizes = [len(p) for p in found.repartition(1).rdd.glom().collect()]
+    assert sum(sizes) == 899 + 90 + 9
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json", "csv"])
+def test_positions_are_the_same_under_any_split_size(spark, tmp_path, kind):
+    """Several files of different sizes, in the order of their paths."""
+    path, order = str(tmp_path / "t"), []
+    for i, n in enumerate((5, 300, 40)):
+        rows = [f"{i}-{k}" for k in range(n)]
+        order += rows
+        one = spark.createDataFrame([(r,) for r in rows], "v string").coalesce(1)
+        one.write.format(kind).save(f"{path}/part={i}")
+    for size in ("128m", "300b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+        try:
+            df = spark.read.schema("v string").format(kind).load(path).select("v")
+            assert [r.v for r in with_row_position(df).orderBy("position").collect()] == order
+            kept = with_row_position(df.where("v LIKE '1-%7'")).orderBy("position").collect()
+            assert [(r.v, r.position) for r in kept] == [(v, i) for i, v in enumerate((v for v in order if v[:2] == "1-" and v[-1] == "7"), 1)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    mixed = with_row_position(spark.range(100).repartition(7)).orderBy("position").collect()
+    assert [r.position for r in mixed] == list(range(1, 101))
