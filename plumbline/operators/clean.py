@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,13 +109,19 @@ class Frame:
         return self._combined(positions, "AND", "false")
 
 
-def frame_of(df: DataFrame, codes: Sequence[object] | None = None) -> Frame:
-    """Positional, normalised view of a table (no data is read)."""
+def frame_of(
+    df: DataFrame, codes: Sequence[object] | None = None, extra: Mapping[str, str] | None = None
+) -> Frame:
+    """Positional, normalised view of a table (no data is read).
+
+    ``extra`` adds columns, as SQL over the columns ``c0``, ``c1``, ... as they were read.
+    """
     names = tuple(df.columns)
     dtypes = tuple(f.dataType for f in df.schema.fields)
     renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
     cleaned = renamed.select(
-        *[F.expr(normalized(f"c{i}", t, codes)).alias(f"c{i}") for i, t in enumerate(dtypes)]
+        *[F.expr(normalized(f"c{i}", t, codes)).alias(f"c{i}") for i, t in enumerate(dtypes)],
+        *[F.expr(sql).alias(name) for name, sql in (extra or {}).items()],
     )
     return Frame(cleaned, names, dtypes)
 

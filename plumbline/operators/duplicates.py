@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import values as V
 from plumbline.operators.clean import Frame, normalized
+from plumbline.operators.local import local_table
 from plumbline.operators.shared import ensure_checkpoint_dir
 
+#: Bits of the filter of a second scan; its broadcast has a word of 64 bits per row.
+FILTER_BITS = 1 << 26
 #: Rows of a repeated key that are written out by one step.
 ROWS_PER_STEP = 1 << 16
 
@@ -22,44 +25,80 @@ _EXACT = (
 )
 
 
+def _values(frame: Frame) -> list[str]:
+    """The cells of a row as they are compared."""
+    return [
+        f"to_json(struct(c{p}), {_EXACT})" if kind == "nested" else f"c{p}"
+        for p, kind in enumerate(frame.kinds)
+    ]
+
+
 def fingerprint(frame: Frame) -> list[Column]:
     """128-bit row key: two hashes of all columns, started from different values.
 
     A row costs 16 bytes in the shuffle however wide it is.  Which columns are NULL is
     hashed too (one bit mask per 32 columns), because the hash function skips NULLs.
     """
-    values = [
-        f"to_json(struct(c{p}), {_EXACT})" if kind == "nested" else f"c{p}"
-        for p, kind in enumerate(frame.kinds)
-    ]
     masks = [
         " + ".join(f"if(c{p} IS NULL, {1 << (p - start)}L, 0L)" for p in range(start, min(start + 32, frame.width)))
         for start in range(0, frame.width, 32)
     ]
-    parts = ", ".join(values + masks)
+    parts = ", ".join(_values(frame) + masks)
     return [
         F.expr(f"xxhash64(17, {parts})").alias("h1"),
         F.expr(f"xxhash64(1000003, 'row', {parts})").alias("h2"),
     ]
 
 
-def duplicate_summary(frame: Frame) -> DataFrame:
-    """One row: row count, duplicate rows (copies after the first), their share.
+Key = Callable[[Frame], list[Column]]
+
 
-    Copies are combined on the map side, so a row repeated billions of times reaches
-    the shuffle once per task.
+def _groups(frame: Frame, key: Key, summed: Sequence[str]) -> DataFrame:
+    """Rows by row key: combined on the map side, a row repeated billions of times is one row per task."""
+    rows = frame.df.select(*key(frame), *summed)
+    return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(c) for c in summed])
+
+
+def _among(frame: Frame, key: Key, wanted: DataFrame) -> DataFrame:
+    """The rows, cells ``v0`` ..., whose keys are among ``wanted``, from a second scan.
+
+    A bit table of at most 2^20 words, made from the keys and broadcast, drops nearly all other rows
+    where they are read; the join with the keys themselves drops the rest.
     """
-    groups = frame.df.select(*fingerprint(frame)).groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-    return groups.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_count"),
-    ).select(
-        "total_rows",
-        "duplicate_count",
-        V.ratio(F.col("duplicate_count"), F.col("total_rows")).alias("duplicate_rate"),
-    )
+    place = F.pmod(F.col("h1"), F.lit(FILTER_BITS).cast("bigint"))
+    word, bit = F.floor(place / 64).cast("bigint"), F.pmod(place, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words = wanted.select(word.alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    cells = [F.expr(v).alias(f"v{i}") for i, v in enumerate(_values(frame))]
+    rows = frame.df.select(*key(frame), *cells).withColumns({"word": word, "bit": one})
+    near = rows.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return near.join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").select(*[f"v{i}" for i in range(frame.width)])
+
+
+def duplicate_figures(frame: Frame, summed: Sequence[str] = (), key: Key = fingerprint) -> dict[str, int]:
+    """Row count, duplicate rows (copies after the first), and sums of ``summed``, from one scan.
+
+    Copies are found by their row key.  Only if some are found, the rows of those groups are read
+    once more and compared whole, so rows that merely share a key are not counted.
+    """
+    groups = _groups(frame, key, summed)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed]
+    repeated = F.when(F.col("cnt") > 1, F.col("cnt"))
+    head = groups.agg(
+        F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(repeated), F.lit(0)).alias("repeated"), *sums
+    ).first()
+    duplicates = 0
+    if head["repeated"]:
+        rows = _among(frame, key, groups.where("cnt > 1").select("h1", "h2"))
+        duplicates = head["repeated"] - rows.distinct().count()
+    return {"total_rows": head["total_rows"], "duplicate_count": duplicates, **{c: head[c] for c in summed}}
+
+
+def duplicate_summary(frame: Frame, key: Key = fingerprint) -> DataFrame:
+    """One row: row count, duplicate rows (copies after the first), their share."""
+    found = duplicate_figures(frame, key=key)
+    row = local_table(frame.df.sparkSession, [(found["total_rows"], found["duplicate_count"])], "total_rows bigint, duplicate_count bigint")
+    return row.withColumn("duplicate_rate", V.ratio(F.col("duplicate_count"), F.col("total_rows")))
 
 
 def duplicate_positions(

@@ -18,7 +18,7 @@ from pyspark.util import inheritable_thread_target
 from plumbline.functions import values as V
 from plumbline.functions.rules import band, first_match, matching_codes
 from plumbline.operators.clean import Frame, frame_of
-from plumbline.operators.duplicates import duplicate_summary
+from plumbline.operators.duplicates import duplicate_figures
 from plumbline.operators.local import local_table
 from plumbline.operators.outliers import Outliers, box_summary, iqr_outliers
 from plumbline.operators.profile import Profile, column_summary, profile
@@ -357,6 +357,7 @@ class QualityReport:
     duplicates: tuple[int, int]
     user_missing_codes: tuple
     top_n: int = TOP_N
+    n_missing_cells: int | None = None  # of the table as read
 
     @property
     def spark(self) -> SparkSession:
@@ -726,7 +727,9 @@ class QualityReport:
     @cached_property
     def report_metrics(self) -> DataFrame:
         """Header figures of a report: raw missing cells, duplicates and the grade."""
-        cells = raw_missing_cells(self.profile.raw).first()["n_missing_cells"]
+        cells = self.n_missing_cells
+        if cells is None:
+            cells = raw_missing_cells(self.profile.raw).first()["n_missing_cells"]
         return self.score.select(
             F.lit(self.profile.n_rows).alias("n_rows"),
             F.lit(self.profile.frame.width).alias("n_cols"),
@@ -773,8 +776,18 @@ def top_outliers(outlier_table: DataFrame, top: int = TOP_N) -> DataFrame:
 def duplicate_counts(frame: Frame) -> tuple[int, int]:
     if frame.width == 0:
         return 0, 0
-    row = duplicate_summary(frame).first()
-    return row["total_rows"], row["duplicate_count"]
+    found = duplicate_figures(frame)
+    return found["total_rows"], found["duplicate_count"]
+
+
+def raw_figures(df: DataFrame, user_missing_codes: Sequence[object] | None = None) -> tuple[int, int, int]:
+    """Rows and duplicate rows of the normalised table, and missing cells of the table as read: one scan."""
+    if not df.columns:
+        return 0, 0, 0
+    missing = [f"c{i} IS NULL" + (f" OR isnan(c{i})" if V.is_floating(f.dataType) else "") for i, f in enumerate(df.schema.fields)]
+    cells = f"CAST(size(filter(array({', '.join(missing)}), x -> x)) AS BIGINT)"
+    found = duplicate_figures(frame_of(df, user_missing_codes, {"n_missing_cells": cells}), ["n_missing_cells"])
+    return found["total_rows"], found["duplicate_count"], found["n_missing_cells"]
 
 
 def assess_data_quality(
@@ -790,9 +803,10 @@ def assess_data_quality(
     """
     beside = inheritable_thread_target(df.sparkSession)
     with ThreadPoolExecutor(1) as pool:
-        duplicates = pool.submit(beside(duplicate_counts), frame_of(df, user_missing_codes))
+        figures = pool.submit(beside(raw_figures), df, user_missing_codes)
         profiled = profile(df, user_missing_codes, single_pass=single_pass)
         outliers = iqr_outliers(profiled)
+        n_rows, n_duplicates, n_missing = figures.result()
         return QualityReport(
-            profiled, outliers, duplicates.result(), tuple(user_missing_codes or ()), top_n
+            profiled, outliers, (n_rows, n_duplicates), tuple(user_missing_codes or ()), top_n, n_missing
         )

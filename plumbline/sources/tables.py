@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 from pathlib import PurePosixPath
@@ -21,6 +22,8 @@ ENCODINGS = {
 }
 FORMATS = ("csv", "parquet", "json", "orc")
 PREVIEW_ROWS = 10
+#: Names the staged folder and the tables of a complete report that is taking its place.
+MANIFEST = "_complete"
 
 # A format no text matches: date-like text in a CSV stays text, so the type check can
 # report it; the profile recognises it as a date either way.
@@ -124,6 +127,75 @@ def report_name(base: str, purpose: str, when: datetime | None = None) -> str:
 def write_report(
     tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "overwrite"
 ) -> None:
-    """Write each result table (``tables()`` of a report or a verdict) to ``path/report=<name>``."""
+    """Write each result table (``tables()`` of a report or a verdict) to ``path/report=<name>``.
+
+    Overwriting replaces the report as a whole: all tables are first written beside it, a manifest
+    then says that they are complete, and only then they take the place of the old ones.  A failure
+    before the manifest leaves the old report as it was; after it, :func:`recover_report` (or the
+    next ``write_report``) finishes the work.
+    """
+    root = path.rstrip("/")
+    if mode != "overwrite":
+        for name, table in tables.items():
+            table.write.mode(mode).format(fmt).save(f"{root}/report={name}")
+        return
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    recover_report(spark, root)
+    stage = f"_staged-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        table.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/report={name}")
+        table.write.format(fmt).save(f"{root}/{stage}/report={name}")
+    files = _Files(spark, root)
+    files.write(f"{stage}/{MANIFEST}", "\n".join([stage, *tables]))
+    files.rename(f"{stage}/{MANIFEST}", MANIFEST)  # from here on the new report counts
+    recover_report(spark, root)
+
+
+def recover_report(spark: SparkSession, path: str) -> bool:
+    """Finish a report whose manifest is there; true if there was one.  May be run again at any time."""
+    files = _Files(spark, path.rstrip("/"))
+    if not files.exists(MANIFEST):
+        return False
+    stage, *names = files.read(MANIFEST).split("\n")
+    for name in names:
+        if files.exists(f"{stage}/report={name}"):  # else it took its place before
+            files.delete(f"report={name}")
+            files.rename(f"{stage}/report={name}", f"report={name}")
+    files.delete(stage)
+    files.delete(MANIFEST)
+    return True
+
+
+class _Files:
+    """The few file operations of a report, by the file system of its folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._hadoop = spark._jvm.org.apache.hadoop
+        self._root = self._hadoop.fs.Path(root)
+        self._system = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._hadoop.fs.Path(self._root, name)
+
+    def exists(self, name: str) -> bool:
+        return self._system.exists(self._at(name))
+
+    def delete(self, name: str) -> None:
+        self._system.delete(self._at(name), True)
+
+    def rename(self, source: str, target: str) -> None:
+        if not self._system.rename(self._at(source), self._at(target)):
+            raise OSError(f"could not rename {source} to {target} in {self._root}")
+
+    def write(self, name: str, text: str) -> None:
+        out = self._system.create(self._at(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def read(self, name: str) -> str:
+        stream = self._system.open(self._at(name))
+        size = self._system.getFileStatus(self._at(name)).getLen()
+        text = bytes(stream.readNBytes(size)).decode()
+        stream.close()
+        return text

@@ -3,7 +3,8 @@ from conftest import dicts
 
 from plumbline import load_table, profile, read_csv, write_report
 from plumbline.plans.quality import dataset_info
-from plumbline.sources.tables import UnsupportedFormat, detect_encoding, preview, report_name
+from plumbline.sources import tables
+from plumbline.sources.tables import UnsupportedFormat, detect_encoding, preview, recover_report, report_name
 
 TEXT = "이름,점수,날짜\n홍길동,1,2024-01-01\n김철수,NA,2024-01-02\n"
 
@@ -57,3 +58,50 @@ def test_csv_keeps_quoted_records(spark, tmp_path):
         df = read_csv(spark, str(path), name)
         assert df.columns == ["id", "said", "city"]
         assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_a_failed_report_leaves_the_old_one_whole(spark, tmp_path):
+    out = tmp_path / "out"
+    write_report({"score": spark.range(1), "items": spark.range(7)}, str(out))
+    broken = spark.range(5).selectExpr("IF(id = 3, raise_error('lost'), id) AS id")
+    with pytest.raises(Exception, match="lost"):
+        write_report({"score": spark.range(2), "items": broken}, str(out))
+    assert not recover_report(spark, str(out))
+    assert spark.read.parquet(f"{out}/report=score").count() == 1
+    assert spark.read.parquet(f"{out}/report=items").count() == 7
+    write_report({"score": spark.range(3), "items": spark.range(4)}, str(out))
+    assert spark.read.parquet(f"{out}/report=score").count() == 3
+    assert not (out / tables.MANIFEST).exists()
+
+
+@pytest.mark.parametrize("steps", range(1, 7))
+def test_an_interrupted_commit_is_finished(spark, tmp_path, monkeypatch, steps):
+    """The commit is stopped before its n-th file operation and then finished."""
+    out = tmp_path / "out"
+    write_report({"score": spark.range(1), "items": spark.range(7)}, str(out))
+    left = [steps]
+
+    class Stopped(tables._Files):
+        def _count(self):
+            left[0] -= 1
+            if left[0] < 0:
+                raise KeyboardInterrupt
+
+        def delete(self, name):
+            self._count()
+            super().delete(name)
+
+        def rename(self, source, target):
+            self._count()
+            super().rename(source, target)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "_Files", Stopped)
+        try:
+            write_report({"score": spark.range(2), "items": spark.range(9)}, str(out))
+        except KeyboardInterrupt:
+            pass
+    recover_report(spark, str(out))
+    assert spark.read.parquet(f"{out}/report=score").count() == 2
+    assert spark.read.parquet(f"{out}/report=items").count() == 9
+    assert not (out / tables.MANIFEST).exists()

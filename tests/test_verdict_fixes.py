@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.clean import frame_of, standardize
-from plumbline.operators.duplicates import duplicate_positions, duplicate_summary, with_row_position
+from plumbline.operators.duplicates import duplicate_figures, duplicate_positions, duplicate_summary, with_row_position
 from plumbline.operators.gaps import ensure_checkpoint_dir, gap_stats
 from plumbline.operators.profile import profile
 from plumbline.plans.readiness import evaluate_readiness
@@ -144,3 +144,28 @@ def test_positions_are_the_same_under_any_split_size(spark, tmp_path, kind):
             spark.conf.unset("spark.sql.files.openCostInBytes")
     mixed = with_row_position(spark.range(100).repartition(7)).orderBy("position").collect()
     assert [r.position for r in mixed] == list(range(1, 101))
+
+
+def test_a_clash_of_row_keys_is_not_counted(spark):
+    """Every row, or every row of a remainder, gets one key; only equal rows count."""
+    rows = [(i % 40, None if i % 7 == 0 else f"t{i % 40}") for i in range(200)]
+    frame = frame_of(spark.createDataFrame(rows, "a int, b string"))
+    want = len(rows) - len(set(rows))
+    for clash in (F.lit(5).cast("bigint"), (F.col("c0") % 3).cast("bigint")):
+        found = duplicate_figures(frame, key=lambda f, c=clash: [c.alias("h1"), F.lit(0).cast("bigint").alias("h2")])
+        assert found == {"total_rows": 200, "duplicate_count": want}
+    assert duplicate_figures(frame) == {"total_rows": 200, "duplicate_count": want}
+    unlike = frame_of(spark.range(100).selectExpr("id", "array(id) AS n"))
+    one = lambda f: [F.lit(-9).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2")]
+    assert duplicate_figures(unlike, key=one)["duplicate_count"] == 0
+
+
+def test_report_metrics_cost_no_scan_of_their_own(spark, monkeypatch):
+    from plumbline.plans import quality as Q
+
+    rows = [(1, "x", 1.0), (1, "x", 1.0), (None, "NA", float("nan")), (4, None, 2.0)] * 5
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    report = Q.assess_data_quality(df)
+    monkeypatch.setattr(Q, "raw_missing_cells", None)
+    row = report.report_metrics.first()
+    assert (row.n_rows, row.n_missing_cells, row.n_duplicate_rows) == (20, 15, 17)
