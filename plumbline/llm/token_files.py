@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,26 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_SCHEMA = "part int, part_start long, doc_id long, n_tokens long, tokens array<int>"
 
-_LOADED: dict[str, TextEncoder] = {}
+#: Texts are encoded together up to so many bytes; a longer text is encoded alone.
+BATCH_BYTES = 4 << 20
+
+#: A blank before white space of any kind or at the end, as ``chunks.UNSAFE`` says it.
+UNSAFE_RE2 = (
+    r" ([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+)
+
+_LOADED: dict[str, BatchEncoder] = {}
+
+
+def parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds (from, to) of texts that are encoded together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+        yield at, upto
+        at = upto
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -38,24 +58,68 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def encoder(path: str) -> TextEncoder:
-    """The tokenizer behind piece and chunk caches, kept for the life of a Python worker.
+class BatchEncoder:
+    """The tokenizer over Arrow arrays of texts, behind caches that live as long as a Python worker.
 
     The file's pre-tokenizer matches the public pattern and writes bytes in its alphabet; its
-    model then sees one piece at a time, so a piece's ids can be kept.
+    model then sees one piece at a time, so a piece's ids can be kept.  Texts are cut at blanks
+    (:mod:`.chunks`) and each distinct chunk of a batch is looked up once.  A text in which a blank
+    doesn't open a chunk is encoded alone, and one that holds an added token of the file, such as
+    an end-of-text mark, is left to the library, which finds those tokens first.
     """
-    if path not in _LOADED:
+
+    def __init__(self, path: str):
         import public_tokenizers as P
         import regex
         from tokenizers import Tokenizer
 
-        model, alphabet, pieces = Tokenizer.from_file(path).model, byte_alphabet(), regex.compile(P.PATTERN)
+        self.library = Tokenizer.from_file(path)
+        model, alphabet, pieces = self.library.model, byte_alphabet(), regex.compile(P.PATTERN)
 
         def piece(text: str) -> bytes:
             written = text.encode("utf-8").decode("latin-1").translate(alphabet)
             return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
-        _LOADED[path] = TextEncoder(pieces.findall, piece)
+        self.encode = TextEncoder(pieces.findall, piece)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def alone(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
+        return self.encode(text)
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of non-null texts, each closed by ``end_id``."""
+        n = len(texts)
+        apart = pc.match_substring_regex(texts, UNSAFE_RE2)
+        for token in self.added:
+            apart = pc.or_(apart, pc.match_substring(texts, token))
+        cut = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        coded = cut.flatten().dictionary_encode()
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        sizes, starts = np.diff(starts), starts[:-1] - starts[0]
+        # codes of all chunks in order, with the end mark behind each text's last
+        codes = np.empty(len(coded) + n, np.int64)
+        codes[np.arange(len(coded)) + np.repeat(np.arange(n), sizes)] = coded.indices.to_numpy()
+        known = coded.dictionary.to_pylist()
+        held = list(map(self.encode.rest.__getitem__, known))
+        heads = starts + np.arange(n)
+        held.append(np.array([end_id], IDS).tobytes())
+        codes[heads + sizes] = len(known)
+        # a text's first chunk has no blank before it, and a text set apart is one chunk
+        for i, (code, alone) in enumerate(zip(codes[heads].tolist(), apart.to_pylist())):
+            held.append(self.alone(texts[i].as_py()) if alone else self.encode.first[known[code]])
+        codes[heads] = len(known) + 1 + np.arange(n)
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) // IDS.itemsize
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), IDS).astype(np.int32)))
+        ends = np.cumsum(lengths[codes])[heads + sizes]
+        return np.concatenate(([0], ends)), ids.take(pa.array(codes)).flatten().to_numpy()
+
+
+def encoder(path: str) -> BatchEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = BatchEncoder(path)
     return _LOADED[path]
 
 
@@ -77,28 +141,24 @@ def write_tokens(
         import public_tokenizers as P
 
         tokenizer_path = P.path("byte_bpe_50k.json")
-    end = np.array([end_id], IDS).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        part, done, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [encode_text(t.as_py() or "") + end for t in batch.column(1)]
-            offsets = np.cumsum([0, *(len(x) // IDS.itemsize for x in ids)])
-            flat = np.frombuffer(b"".join(ids), IDS).astype(np.int32)
-            columns = [
-                pa.array(np.full(batch.num_rows, part, np.int32)),
-                pa.array(offsets[:-1] + done),
-                batch.column(0),
-                pa.array(np.diff(offsets)),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
-            ]
-            done += int(offsets[-1])
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "part_start", "doc_id", "n_tokens", "tokens"])
+            for a, b in parts_of(batch.column(1)):
+                offsets, flat = encode_texts(batch.column(1).slice(a, b - a), end_id)
+                columns = [
+                    pa.array(np.full(b - a, part, np.int32)),
+                    pa.array(offsets[:-1] + done),
+                    batch.column(0).slice(a, b - a),
+                    pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                ]
+                done += int(offsets[-1])
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "part_start", "doc_id", "n_tokens", "tokens"])
 
     (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(encode, FILE_SCHEMA)

@@ -102,6 +102,25 @@ def test_token_files(spark, docs, texts, empty):
     assert token_files.digests(token_files.with_start(spark, none)).count() == 0
 
 
+def test_token_ids_equal_the_library_with_its_default_flags():
+    """Added tokens in texts, blanks of all kinds, and texts that share chunks."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    draw = random.Random(11)
+    parts = [" ", "  ", " \u00a0", " \u3000x", "\n", " \x1c", "<|endoftext|>", "<|endoftext", "the", " of", "l'été", "12,", " Ü", "\x85", "\u2003 ", "\u200b "]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(3000)]
+    texts += ["<|endoftext|>", " <|endoftext|> ", "a<|endoftext|><|endoftext|>b", "", " ", "x " * 5000]
+    offsets, ids = token_files.BatchEncoder(path)(pa.array(texts), 0)
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    assert list(token_files.parts_of(pa.array(["a" * (3 << 20)] * 3 + ["b"]))) == [(0, 1), (1, 2), (2, 4)]
+    assert list(token_files.parts_of(pa.array([], pa.string()))) == []
+
+
 def test_token_file_encoding(spark, docs):
     import glob
 
