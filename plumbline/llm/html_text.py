@@ -9,7 +9,8 @@ pads table cells to the width of their column.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .common import table
 
 #: fixed values of the HTML standard: elements without content, unseen ones, and blocks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript meta link base datalist audio video canvas iframe object svg math select textarea".split())
+UNSEEN = frozenset("head title script style template noscript meta link base datalist audio video canvas iframe object select".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header html legend li main nav option section summary caption thead tbody tfoot tr td th".split())
 #: a start tag of the key ends an open element of the values, looked for up to the barrier
@@ -48,50 +49,80 @@ INSIDE = {
 #: what a head may hold; any other start tag or text ends it
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 SCOPES = frozenset("table td th caption body html".split())
-MOST_DEPTH = 200
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: a block ends an open paragraph, looked for up to these
+P_SCOPES = SCOPES | {"li", "div", "article", "section"}
+FOREIGN = ("svg", "math")
+#: elements of a drawing whose content is drawn, and those that only group others
+DRAWN, GROUPING = ("text", "foreignobject"), ("svg", "g", "a", "switch")
+REMOVED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+BLOCK_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*(?:block|flex|grid|flow-root|list-item|table)\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: a tag that no ">" follows, up to the end of the page
+UNENDED = re.compile(r"<[A-Za-z/!?][^>]*\Z")
+CALLS_PER_LEVEL = 8
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element; ``seen`` is false if it is left out with all inside it.
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    ``visible`` says whether its own text shows: elements inherit it and may set it anew.
+    """
 
-    @property
-    def seen(self) -> bool:
-        a = self.attrs
-        return not (self.tag in UNSEEN or "hidden" in a or HIDDEN.search(a.get("style") or ""))
+    __slots__ = ("tag", "attrs", "children", "seen", "visible", "is_block")
+
+    def __init__(self, tag: str, attrs: dict[str, str | None], visible: bool = True):
+        self.tag, self.attrs, self.children = tag, attrs, []
+        style = attrs.get("style") or ""
+        self.seen = not (tag in UNSEEN or "hidden" in attrs or style and REMOVED.search(style))
+        said = VISIBILITY.findall(style) if style else ()
+        self.visible = said[-1].lower() == "visible" if said else visible
+        self.is_block = tag in BLOCKS or bool(style and BLOCK_STYLE.search(style))
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree; beyond ``MOST_DEPTH`` open elements further ones become siblings."""
+    """Builds the tree.  Where elements of a tag are open is kept, so no tag is looked for in the stack."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+        self.depth = 1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+        self.depth = max(self.depth, len(self.open))
+
+    def pop(self, size: int) -> None:
+        """Close elements until ``size`` are open."""
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
 
     def close_to(self, tags: tuple[str, ...], barrier: frozenset | tuple) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in barrier:
-                return
+        at = self.innermost(tags)
+        if at and at >= self.innermost(barrier):
+            self.pop(at)
 
     def close_inside(self, tags: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i + 1 :]
-                return
+        at = self.innermost(tags)
+        if at:
+            self.pop(at + 1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         if tag in INSIDE:
             self.close_inside(INSIDE[tag])
             if tag in ("td", "th") and self.open[-1].tag in (*GROUPS, "table"):
@@ -99,20 +130,21 @@ class TreeBuilder(HTMLParser):
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         elif tag in BLOCKS:
-            self.close_to(("p",), SCOPES | {"li", "div", "article", "section"})
-        node = Node(tag, dict(attrs))
-        if len(self.open) > MOST_DEPTH and tag not in VOID:
-            self.open.pop()
+            self.close_to(("p",), P_SCOPES)
+        node = Node(tag, dict(attrs), self.open[-1].visible)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self.push(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        """The slash means something in drawings and formulas only."""
+        self.handle_starttag(tag, attrs)
+        if self.innermost(FOREIGN) and self.open[-1].tag == tag:
+            self.pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.open[-1].children.append(Node("br", {}))
+            self.open[-1].children.append(Node("br", {}, self.open[-1].visible))
         elif tag == "tr" or tag in GROUPS:
             self.close_to((tag,), ("table",))
         elif tag not in VOID:
@@ -120,7 +152,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag in ("head", "colgroup") and BLANKS.sub("", data):
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -193,17 +225,34 @@ def _rendered(node: Node, keep: bool) -> list[str]:
 def _children(node: Node, page: Page, keep: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
-            page.text(child, keep)
+            if node.visible:
+                page.text(child, keep)
         elif child.seen:
             _element(child, page, keep)
 
 
+def _drawn(node: Node) -> Iterator[Node]:
+    """The elements of a drawing that hold its text, in order."""
+    waiting = [node]
+    while waiting:
+        found = waiting.pop()
+        if found.tag in DRAWN:
+            yield found
+        elif found.tag in GROUPING:
+            waiting += [c for c in reversed(found.children) if isinstance(c, Node) and c.seen]
+
+
 def _element(node: Node, page: Page, keep: bool) -> None:
     tag = node.tag
     if tag == "br":
         page.break_line()
     elif tag == "img":
-        page.text(node.attrs.get("alt") or "", False)
+        page.text(node.attrs.get("alt") or "" if node.visible else "", False)
+    elif tag == "svg":
+        for inner in _drawn(node):
+            page.part(1)
+            _children(inner, page, keep)
+            page.part(1)
     elif tag in ("ul", "ol"):
         page.block(_items(node, keep), 1 if page_is_nested(node) else 2)
     elif tag == "table":
@@ -212,7 +261,7 @@ def _element(node: Node, page: Page, keep: bool) -> None:
         for child in node.children:
             if isinstance(child, Node) and child.tag == "summary" and child.seen:
                 _element(child, page, keep)
-    elif tag in BLOCKS:
+    elif node.is_block:
         gap = 2 if tag in SPACED else 1
         page.part(gap)
         _children(node, page, keep or tag == "pre")
@@ -231,7 +280,7 @@ def _items(node: Node, keep: bool) -> list[str]:
     number = _number(node.attrs.get("start"), 1)
     for child in node.children:
         if isinstance(child, str):
-            out += [BLANKS.sub(" ", child).strip()] if child.strip() else []
+            out += [BLANKS.sub(" ", child).strip()] if node.visible and child.strip() else []
             continue
         if not child.seen:
             continue
@@ -270,7 +319,8 @@ def _loose(node: Node) -> Iterator[Node | str]:
     """Text and elements outside the cells of a table, caption included, as written."""
     for child in node.children:
         if isinstance(child, str):
-            yield child
+            if node.visible:
+                yield child
         elif child.seen and (child.tag == "tr" or child.tag in GROUPS):
             yield from _loose(child)
         elif child.seen and child.tag not in ("td", "th", "colgroup"):
@@ -311,24 +361,41 @@ def _table(node: Node, keep: bool) -> list[str]:
             spare = max(map(len, lines), default=0) - sum(width.get(c, 0) + 3 for c in range(at, at + span)) + 3
             if span > 1 and spare > 0:
                 width[at + span - 1] = width.get(at + span - 1, 0) + spare
+    starts, last = [0], max((max(cells) for cells in grid if cells), default=0)
+    for c in range(last):
+        starts.append(starts[-1] + width.get(c, 0) + 3)
     for cells in grid:
+        places = sorted(cells)
         for i in range(max((len(lines) for lines, _ in cells.values()), default=0)):
-            line, place = "", 0
-            for at in sorted(cells):
-                start = sum(width.get(c, 0) + 3 for c in range(at))
-                line = line.ljust(start) if not place else line.ljust(start - 3) + " | "
+            parts, size = [], 0
+            for at in places:
                 lines = cells[at][0]
-                line += lines[i] if i < len(lines) else ""
-                place += 1
-            out.append(line.rstrip())
+                mark = " | " if parts else ""
+                text = " " * (starts[at] - len(mark) - size) + mark + (lines[i] if i < len(lines) else "")
+                parts.append(text)
+                size += len(text)
+            out.append("".join(parts).rstrip())
     return out
 
 
 def visible_text(html: str | None) -> str:
+    """The laid out text of a page.
+
+    Frames of nested calls live on the heap, so the call depth may follow the page's; it is set
+    back afterwards.  A tag that the page's end cuts off is left out, as browsers do.
+    """
     builder = TreeBuilder()
-    builder.feed(html or "")
+    text = html or ""
+    tail = text.rfind(">") + 1
+    cut = UNENDED.search(text, tail)
+    builder.feed(text[: cut.start()] if cut else text)
     builder.close()
-    return "\n".join(_rendered(builder.root, False))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + CALLS_PER_LEVEL * builder.depth)
+    try:
+        return "\n".join(_rendered(builder.root, False))
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(pages: DataFrame) -> DataFrame:
