@@ -137,19 +137,31 @@ def links(members: pd.DataFrame) -> pd.DataFrame:
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """Forest edges (a, b) between classes whose full sets reach the limit."""
-    placed = classes.join(groups, classes.rep == groups.node).select("rep", "n_shingles", "bits", "component")
+    placed = classes.join(groups, classes.rep == groups.node).select("rep", "digest", "n_shingles", "bits", "component")
     sizes = groups_of(placed)
     placed = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     sets = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, bytes]] = set()  # short keys of this task's classes
         for batch in batches:
-            held = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            keys = list(zip(batch.column("rep").to_pylist(), batch.column("digest").to_pylist()))
+            kept, held = [], []
+            for i, key in enumerate(keys):
+                if key in done:
+                    continue
+                found = shingle_set(batch.column("text")[i].as_py()).tobytes()
+                if xxhash.xxh3_128_digest(found) == key[1]:  # else another text of the same doc_id
+                    done.add(key)
+                    kept.append(i)
+                    held.append(found)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "shingles", held)
+            yield batch.take(pa.array(kept, pa.int64())).set_column(at, "shingles", pa.array(held, pa.binary()))
 
-    near = placed.join(sets, "rep").select("rep", "component", "block", "blocks", "bits", "text")
-    near = near.mapInArrow(gather, "rep long, component long, block long, blocks long, bits array<long>, shingles binary")
+    near = placed.join(sets, "rep").select("rep", "digest", "component", "block", "blocks", "bits", "text")
+    shape = "rep long, digest binary, component long, block long, blocks long, bits array<long>, shingles binary"
+    # each class once, however often its row is repeated
+    near = near.mapInArrow(gather, shape).dropDuplicates(["rep", "digest"]).drop("digest")
     units = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = units.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     units = units.select("component", "low", "high", "rep", "bits", "shingles")

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import stored, table, whole_row
 
 TRAINING_ROWS = 12_000
 ROUNDS_EM, STEPS = 50, 40
@@ -206,7 +207,7 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _binary(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
+    return docs.select(whole_row(docs).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
 def count_votes(docs: DataFrame) -> pd.DataFrame:
@@ -305,8 +306,8 @@ def judge(docs: DataFrame, model: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "weak", "score", "kept"])
 
     rows = _binary(docs)
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(rate, f"doc {kind}, weak double, score double, kept boolean")
+    figures = T.StructType.fromDDL("weak double, score double, kept boolean")
+    return rows.mapInArrow(rate, T.StructType([rows.schema["doc"], *figures.fields]))
 
 
 def classify(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, space_words, stored, table
+from .common import SPACE_CHARS, let, space_words, stored, table, whole_row
 
 LABELLED_ROWS = 20_000
 BINS = 32
@@ -107,7 +107,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _without(text, digits).cast("long").alias("n_digits"),
         _without(text, "!?;:()[]{}\"=~^").cast("long").alias("n_marks"),
     )
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.explode(F.array(counts)).alias("s"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.explode(F.array(counts)).alias("s"))
     return rows.select(
         "doc",
         F.col("doc.doc_id").cast("long").alias("doc_id"),
@@ -160,7 +160,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, labelled_rows: int) -> DataFra
     drawn = marks.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     drawn = drawn.groupBy("key").agg(F.min("quality").alias("quality"))
     # bounded by labelled_rows
-    chosen = docs.join(F.broadcast(drawn), F.col("doc_id").cast("long") == F.col("key")).select("doc_id", "text", "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    chosen = texts.join(F.broadcast(drawn), "key").select(F.col("key").alias("doc_id"), "text", "quality")
     rows = statistics(chosen)
     return rows.select(
         (F.col("doc.quality") == 0).alias("bad"),

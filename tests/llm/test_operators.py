@@ -464,3 +464,49 @@ def test_html_table_omitted_tags_and_stray_text():
     nested = "<table><tr><td>x<table><tr><td>in</table>y<td>z</table>"
     assert [w for w in visible_text(nested).split() if w != "|"] == ["x", "z", "in", "y"]
     assert visible_text("<table><colgroup>lost<tr><td>a</table>").split("\n") == ["lost", "a"]
+
+
+ODD_NAMES = ["quality", "key", "a.b", "my col", "doc", "s", "b`t", "id", "tk", "kept"]
+
+
+def odd_documents(spark):
+    draw = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        words = draw.choices(vocabulary if i % 3 else vocabulary[:4], k=120)
+        rows.append((i, " ".join(words), *[f"{n}{i}" for n in ODD_NAMES]))
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in ODD_NAMES)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "x") for i in range(60)], "doc_id long, quality int, text string")
+    return spark.createDataFrame(rows, f"doc_id long, text string, {fields}"), labels
+
+
+def test_rules_and_classifier_keep_odd_columns(spark):
+    docs, labels = odd_documents(spark)
+    rules = quality_rules.quality_rules(docs, labels)
+    assert rules.where("kept").select("doc.*").columns == docs.columns
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    for row in rules.select("doc.*").collect():
+        assert tuple(row) == want[row.doc_id]
+    judged = quality_classifier.classify(docs)
+    assert judged.select("doc.*").columns == docs.columns
+    assert sorted(tuple(r) for r in judged.select("doc.*").collect()) == sorted(want.values())
+    plain = quality_rules.quality_rules(docs.select("doc_id", "text"), labels).select("doc_id", "kept", "rule")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, rules.select("doc_id", "kept", "rule").collect()))
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    """Thousands of equal rows of near copies meet in a unit once per class; other texts of a doc_id too."""
+    draw = random.Random(4)
+    base = [f"w{draw.randrange(900)}" for _ in range(300)]
+    near = [*base[:298], "x", "y"]
+    rows = [(1, " ".join(base))] * 1500 + [(2, " ".join(near))] * 1500 + [(2, "quite another text of five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    signed = near_duplicates.signatures(docs).where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "keys", "bits")])
+    classes = near_duplicates.stored(signed, "test-classes")
+    groups = near_duplicates.components(near_duplicates.candidate_ties(classes), "test-groups")
+    found = near_duplicates.confirmed_links(docs, classes.drop("keys"), groups)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    result = near_duplicates.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, result)) == [(1, 1, 1500), (2, 1, 1501)]
