@@ -139,13 +139,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         return F.aggregate(ordered, F.struct(F.lit(0).alias("until"), F.lit(0).alias("n")), step)["n"]
 
-    words = hits.groupBy("doc_id", "tk").agg(covered(F.sort_array(F.collect_set(F.struct("start", "m")))).cast("long").alias("n_hit"))
-    items = hits.select("doc_id", "tk", "set_a", "set_b").distinct().join(members, ["set_a", "set_b"])
-    items = items.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    both = words.join(items, _same_row(words, items)).select(
-        words.doc_id.alias("d"), words.tk.alias("t"), "n_hit",
-        F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+    # documents with the same sets of items share one list, built once however many they are
+    sets_held = F.sort_array(F.collect_set(F.struct("set_a", "set_b")))
+    starts_held = F.sort_array(F.collect_set(F.struct("start", "m")))
+    words = hits.groupBy("doc_id", "tk").agg(covered(starts_held).cast("long").alias("n_hit"), sets_held.alias("held"))
+    words = words.withColumns({"held_a": F.xxhash64("held"), "held_b": F.xxhash64(F.lit(1), "held")})
+    words = stored(words, "winnow-words")
+    lists = words.groupBy("held_a", "held_b").agg(F.first("held").alias("held"))
+    lists = lists.select("held_a", "held_b", F.inline("held")).join(members, ["set_a", "set_b"])
+    lists = lists.groupBy("held_a", "held_b").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    lists = lists.select(
+        "held_a", "held_b", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
     )
+    both = words.drop("held").join(lists, ["held_a", "held_b"]).drop("held_a", "held_b")
+    both = both.withColumnsRenamed({"doc_id": "d", "tk": "t"})
     joined = counted.join(both, counted.doc_id.eqNullSafe(both.d) & (counted.tk == both.t), "left")
     return joined.select(
         "doc_id", "tk", "n_words",
