@@ -31,7 +31,7 @@ ROUNDS = 3
 PRIOR_COUNT = 0.01
 UNKNOWN = 1e-9
 LONGEST_PIECE = 16
-LONG_WORD = 32
+TRAINING_CELLS = 400_000
 CACHED_WORDS = 700_000
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -180,8 +180,11 @@ def expected_counts(words: list[str], langs: np.ndarray, counts: np.ndarray, voc
     """Expected uses of each piece in each language over counted (word, language) rows."""
     out = np.zeros_like(chance)
     order = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(order), 4000):
-        rows = order[at : at + 4000]
+    at = 0
+    while at < len(order):  # words of like length together, long ones in small lots
+        longest = len(words[order[min(at + 4000, len(order)) - 1]])
+        rows = order[at : at + max(1, min(4000, TRAINING_CELLS // (longest + 2)))]
+        at += len(rows)
         cuts = Cuts.find([words[i] for i in rows], vocabulary)
         lang = langs[rows][cuts.word]
         own = chance[cuts.piece, lang][:, None]
@@ -211,7 +214,7 @@ def _word_counts(sample: DataFrame, languages: list[str]) -> DataFrame:
             held: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 number = place[lang]
-                held.update((number, w) for w in words_of(text or "") if len(w) <= LONG_WORD)
+                held.update((number, w) for w in words_of(text or ""))
             columns = [
                 pa.array([k[0] for k in held], pa.int32()),
                 pa.array([k[1] for k in held], pa.string()),
