@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _hooked(edges: DataFrame) -> DataFrame:
-    """(node, parent): every node with its least neighbour or itself, jumped once."""
+def _hooked(edges: DataFrame, name: str) -> DataFrame:
+    """(node, parent): every node with its least neighbour or itself, jumped once.
+
+    The hooks are stored before they are joined: both sides of the join are then plain
+    shuffles, which adaptive execution can split where many nodes have one parent.
+    """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     step = both.groupBy("node").agg(F.least("node", F.min("other")).alias("parent"))
+    step = stored(step, f"{name}-steps")
     above = step.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
     return step.join(above, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"))
 
@@ -27,7 +32,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges = stored(edges.where("a <> b").select("a", "b"), f"{name}-edges")
     labels = None
     while not edges.isEmpty():
-        hooks = stored(_hooked(edges), f"{name}-hooks")
+        hooks = stored(_hooked(edges, name), f"{name}-hooks")
         if labels is None:
             labels = hooks.withColumnRenamed("parent", "component")
         else:

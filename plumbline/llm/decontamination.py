@@ -6,7 +6,8 @@ hash, so joining these fingerprints finds every shared span of a window or more,
 keeps only about two hashes in seven.  Matched fingerprints are then extended: the windows
 around them are compared as a whole (two 64-bit hashes), and the words they cover are hit.
 
-Documents are never shuffled as texts unless they matched.  The benchmark's fingerprints are
+Texts are split once to count words and find fingerprints, again only if they matched, and
+never shuffled unless they matched.  The benchmark's fingerprints are
 broadcast up to ``BROADCAST_ROWS`` of them, joined by a shuffle beyond.  Built-in functions only.
 """
 
@@ -15,17 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, stored, table
+from .common import let, letter_words, stored, table
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 500_000
-#: fixed values: what parts words, after A-Z became a-z
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: repeated rows are written out in steps of so many
+STEP = 4096
 
 
 def words_of(text: Column) -> Column:
-    core = F.regexp_replace(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), f"^{BREAKS}|{BREAKS}$", "")
-    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, BREAKS))
+    return letter_words(text.cast("string"))
 
 
 def _starts(words: Column, length: int) -> Column:
@@ -98,6 +98,13 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a.doc_id.eqNullSafe(b.doc_id) & (a.tk == b.tk)
 
 
+def _each(df: DataFrame, times: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, in steps that keep the lists short."""
+    df = df.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(STEP).cast("long"))))
+    rest = F.least(F.lit(STEP), F.col(times) - F.col("step"))
+    return df.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), rest))).drop("step")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tk (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -108,17 +115,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = stored(item_windows(benchmark), "winnow-items")
     lengths = sorted(r.m for r in windows.select("m").distinct().collect())  # ten at most
     rows = _keyed(docs)
-    counted = rows.select("doc_id", "tk", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
+        counted = rows.select("doc_id", "tk", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         return counted.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
-    def distinct_prints(words: Column) -> Column:
-        return F.array_distinct(F.concat(*[_window_prints(words, m) for m in lengths]))
-
-    prints = rows.select("doc_id", "tk", F.explode(let(words_of(F.col("text")), distinct_prints)).alias("print"))
-    shared = prints.join(_small(windows.select("print").distinct()), "print").distinct()
-    matched = stored(shared.groupBy("doc_id", "tk").agg(F.collect_set("print").alias("wanted")), "winnow-matched")
+    def prints_and_size(words: Column) -> Column:
+        """A row per distinct fingerprint, and one with the number of words."""
+        prints = F.array_distinct(F.concat(*[_window_prints(words, m) for m in lengths]))
+        no_size = F.lit(None).cast("int")
+        # the row of the size gets a hash as its key, so that a shuffle join spreads it
+        size = F.struct(F.xxhash64("doc_id", "tk").alias("print"), F.size(words).alias("size"))
+        return F.concat(F.transform(prints, lambda p: F.struct(p.alias("print"), no_size.alias("size"))), F.array(size))
+
+    # texts are split once for both: their numbers of words and the fingerprints that items share
+    marks = rows.select("doc_id", "tk", F.inline(let(words_of(F.col("text")), prints_and_size)))
+    wanted = _small(windows.select("print").distinct().withColumn("shared", F.lit(True)))
+    marks = marks.join(wanted, "print", "left").where("shared OR size IS NOT NULL")
+    judged = marks.groupBy("doc_id", "tk").agg(
+        F.max("size").cast("long").alias("n_words"),
+        F.count("size").alias("copies"),
+        F.collect_set(F.when(F.col("size").isNull(), F.col("print"))).alias("wanted"),
+    )
+    judged = stored(judged, "winnow-judged")
+    matched = judged.where(F.size("wanted") > 0).select("doc_id", "tk", "wanted")
 
     # windows that the same items hold are one set, so a passage of many items stays one row
     sets = windows.groupBy("m", "print", "a", "b").agg(
@@ -153,8 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     both = words.drop("held").join(lists, ["held_a", "held_b"]).drop("held_a", "held_b")
     both = both.withColumnsRenamed({"doc_id": "d", "tk": "t"})
-    joined = counted.join(both, counted.doc_id.eqNullSafe(both.d) & (counted.tk == both.t), "left")
-    return joined.select(
+    joined = judged.join(both, judged.doc_id.eqNullSafe(both.d) & (judged.tk == both.t), "left")
+    return _each(joined.drop("wanted"), "copies").select(
         "doc_id", "tk", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

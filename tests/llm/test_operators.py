@@ -356,6 +356,17 @@ def test_decontamination(spark, docs, texts, empty):
     assert decontamination.decontaminate(empty, benchmark).count() == 0
 
 
+def test_decontamination_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "STEP", 3)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    rows = [(1, "a Alpha b")] * 7 + [(1, "b")] * 4 + [(None, "alpha")] * 3 + [(None, None)] * 2 + [(2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([("x", "alpha")], "item_id string, text string")
+    found = decontamination.decontaminate(docs, benchmark).select("doc_id", "n_words", "n_hit", "contaminated").collect()
+    want = [(1, 3, 1, True)] * 7 + [(1, 1, 0, False)] * 4 + [(None, 1, 1, True)] * 3 + [(None, 0, 0, False)] * 2 + [(2, 0, 0, False)]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_licenses(spark, docs, texts, empty):
     notices = {"a": "alpha beta gamma", "b": "the of the of the", "mit": licenses.NOTICES["MIT"], "one": "word"}
     rows = [(1, "x y\nReleased under  the MIT-License!\n"), (2, "released under the MIT licence"), (3, None), (4, "alpha beta gamma"), (4, "alpha beta gamma")]
