@@ -138,13 +138,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("size").isNull(), F.col("print"))).alias("wanted"),
     )
     judged = stored(judged, "winnow-judged")
-    matched = judged.where(F.size("wanted") > 0).select("doc_id", "tk", "wanted")
+    matched = stored(judged.where(F.size("wanted") > 0).select("doc_id", "tk", "wanted"), "winnow-matched")
 
     # windows that the same items hold are one set, so a passage of many items stays one row
     sets = windows.groupBy("m", "print", "a", "b").agg(
         F.sum(F.xxhash64("item_id").cast("decimal(20,0)")).alias("set_a"), F.count("*").alias("set_b")
     )
     members = windows.join(sets, ["m", "print", "a", "b"]).select("set_a", "set_b", "item_id").distinct()
+    # the keys of matched rows alone go to the scan, so that other texts aren't shuffled
+    named = _small(matched.select("doc_id", "tk"))
+    rows = rows.join(named, _same_row(rows, named), "left_semi")
     found = rows.join(matched, _same_row(rows, matched)).select(rows.doc_id, rows.tk, "text", "wanted")
     spans = found.select(
         "doc_id", "tk", F.inline(let(words_of(F.col("text")), lambda w: _all_windows(w, lengths, F.col("wanted"))))
