@@ -33,6 +33,7 @@ from plumbline.operators.profile import (  # noqa: E402
     typed_profile,
     variable_types,
 )
+from plumbline.operators.settled import settled_types  # noqa: E402
 from plumbline.plans import quality as Q  # noqa: E402
 from plumbline.plans.quality import assess_data_quality  # noqa: E402
 from plumbline.plans.readiness import evaluate_readiness  # noqa: E402
@@ -209,6 +210,13 @@ def _registry() -> dict[str, tuple]:
     for name in ("events_special", "documents", "conversations", "pages", "customer", "labels"):
         r[f"variable_types_{name.split('_')[0]}"] = _types(name)
     r["date_convertible"] = _types("lineitem_text")
+    # the same types without a shuffle of distinct values
+    for name, key in (("lineitem", ""), ("orders_dirty", "_orders"), ("documents", "_documents"), ("events_special", "_events"), ("lineitem_text", "_text")):
+        r[f"settled_types{key}"] = (
+            "pos:i variable:s variable_type:s is_time_candidate:b",
+            lambda s, d, n=name: settled_types(_read(n, s, d)),
+            f"WITH {O.profile(_c(name))} SELECT pos, variable, vt AS variable_type, is_time AS is_time_candidate FROM types",
+        )
     r["role_candidates"] = (
         "role:s pos:i variable:s",
         lambda s, d: role_candidates(variable_types(_read("lineitem", s, d))),

@@ -2,6 +2,7 @@
 
 from plumbline.operators.clean import standardize
 from plumbline.operators.profile import profile, variable_types
+from plumbline.operators.settled import settled_types
 from plumbline.plans.quality import assess_data_quality
 from plumbline.plans.readiness import evaluate_readiness
 from plumbline.sources.tables import load_table, read_csv, write_report
@@ -12,6 +13,7 @@ __all__ = [
     "load_table",
     "profile",
     "read_csv",
+    "settled_types",
     "standardize",
     "variable_types",
     "write_report",
