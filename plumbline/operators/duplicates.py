@@ -59,38 +59,59 @@ def _groups(frame: Frame, key: Key, summed: Sequence[str]) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(c) for c in summed])
 
 
-def _among(frame: Frame, key: Key, wanted: DataFrame) -> DataFrame:
-    """The rows, cells ``v0`` ..., whose keys are among ``wanted``, from a second scan.
+def _place(h1: str) -> tuple[Column, Column]:
+    """Word and bit of a key in the bit table.
 
-    A bit table of at most 2^20 words, made from the keys and broadcast, drops nearly all other rows
-    where they are read; the join with the keys themselves drops the rest.
+    Neither can be NULL if the key isn't, so no test of them is pushed below the projection of the
+    rows, where it would evaluate the whole key a second time.
+    """
+    place = F.col(h1).bitwiseAND(F.lit(FILTER_BITS - 1).cast("bigint"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    return F.shiftright(place, 6), bit
+
+
+def _among(frame: Frame, key: Key, words: DataFrame) -> DataFrame:
+    """The rows, cells ``v0`` ..., that may repeat others, from a second scan.
+
+    ``words``, the bit table of repeated keys (at most 2^20 words), is broadcast and drops nearly all
+    other rows where they are read.
     """
-    place = F.pmod(F.col("h1"), F.lit(FILTER_BITS).cast("bigint"))
-    word, bit = F.floor(place / 64).cast("bigint"), F.pmod(place, F.lit(64)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    words = wanted.select(word.alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     cells = [F.expr(v).alias(f"v{i}") for i, v in enumerate(_values(frame))]
-    rows = frame.df.select(*key(frame), *cells).withColumns({"word": word, "bit": one})
-    near = rows.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    return near.join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").select(*[f"v{i}" for i in range(frame.width)])
+    word, bit = _place("h1")
+    rows = frame.df.select(*key(frame), *cells).withColumns({"word": word, "bit": bit})
+    near = rows.join(F.broadcast(words.select("word", "bits")), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return near.select(*[f"v{i}" for i in range(frame.width)])
 
 
 def duplicate_figures(frame: Frame, summed: Sequence[str] = (), key: Key = fingerprint) -> dict[str, int]:
     """Row count, duplicate rows (copies after the first), and sums of ``summed``, from one scan.
 
     Copies are found by their row key.  Only if some are found, the rows of those groups are read
-    once more and compared whole, so rows that merely share a key are not counted.
+    once more and compared whole, so rows that merely share a key, or a bit of the table, are not
+    counted: each is a group of its own there.
     """
-    groups = _groups(frame, key, summed)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed]
-    repeated = F.when(F.col("cnt") > 1, F.col("cnt"))
-    head = groups.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(repeated), F.lit(0)).alias("repeated"), *sums
-    ).first()
-    duplicates = 0
-    if head["repeated"]:
-        rows = _among(frame, key, groups.where("cnt > 1").select("h1", "h2"))
-        duplicates = head["repeated"] - rows.distinct().count()
+    sums = [F.sum(c).alias(c) for c in summed]
+    word, bit = _place("h1")
+    # the groups of one row in a task are one row without a word
+    words = (
+        _groups(frame, key, summed)
+        .groupBy(F.when(F.col("cnt") > 1, word).alias("word"))
+        .agg(F.bit_or(bit).alias("bits"), F.sum("cnt").alias("cnt"), *sums)
+        .persist()
+    )
+    try:
+        head = words.agg(
+            F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_rows"),
+            F.count("word").alias("repeated"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed],
+        ).first()
+        duplicates = 0
+        if head["repeated"]:
+            rows = _among(frame, key, words.where("word IS NOT NULL"))
+            same = rows.groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("later"))
+            duplicates = same.agg(F.coalesce(F.sum("later"), F.lit(0)).alias("later")).first()["later"]
+    finally:
+        words.unpersist()
     return {"total_rows": head["total_rows"], "duplicate_count": duplicates, **{c: head[c] for c in summed}}
 
 

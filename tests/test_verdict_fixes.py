@@ -169,3 +169,21 @@ def test_report_metrics_cost_no_scan_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(Q, "raw_missing_cells", None)
     row = report.report_metrics.first()
     assert (row.n_rows, row.n_missing_cells, row.n_duplicate_rows) == (20, 15, 17)
+
+
+def test_duplicates_take_two_scans(spark, monkeypatch):
+    """The rows are read once for their keys and once to be compared, however small the bit table."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i % 700, f"t{i % 700}", None if i % 7 else 0.0 if i % 2 else -0.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string, x double").mapInArrow(counted, "k long, t string, x double")
+    want = {"total_rows": 1000, "duplicate_count": 1000 - len({repr(r).replace("-0.0", "0.0") for r in rows})}
+    assert duplicate_figures(frame_of(df)) == want
+    assert read.value == 2000
+    monkeypatch.setattr("plumbline.operators.duplicates.FILTER_BITS", 64)
+    assert duplicate_figures(frame_of(df)) == want
