@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 CUT = re.compile(r" (?=\S)")
 UNSAFE = re.compile(r" (?=\s)| \Z")
-GENERATION = 400_000
+GENERATION = 600_000
 CACHED_CHARS = 64
 
 
@@ -51,17 +51,18 @@ class ChunkCache(dict):
 
 class BlankChunks(ChunkCache):
     """Chunks behind a blank.  A run of letters, and one with a comma or full stop, need no pattern:
-    the pattern matches the blank with the letters, and the mark on its own."""
+    the pattern matches the blank with the letters, and the mark on its own.  A run of letters is kept
+    here only, and found by the same run with a mark."""
 
-    def __init__(self, encode: Callable[[str], bytes], pieces: dict[str, bytes]):
+    def __init__(self, encode: Callable[[str], bytes], pieces: ChunkCache):
         super().__init__(" ", encode)
         self.pieces = pieces
 
     def compute(self, chunk: str) -> bytes:
         if chunk.isalpha():
-            return self.pieces[" " + chunk]
+            return self.pieces.encode(" " + chunk)
         if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+            return self[chunk[:-1]] + self.pieces[chunk[-1]]
         return self.encode(" " + chunk)
 
 

@@ -75,9 +75,13 @@ class BatchEncoder:
 
         self.library = Tokenizer.from_file(path)
         model, alphabet, pieces = self.library.model, byte_alphabet(), regex.compile(P.PATTERN)
+        blank = chr(alphabet[ord(" ")])
 
         def piece(text: str) -> bytes:
-            written = text.encode("utf-8").decode("latin-1").translate(alphabet)
+            if text[0] == " " and text.isascii() and text[1:].isalpha():  # letters stand for themselves
+                written = blank + text[1:]
+            else:
+                written = text.encode("utf-8").decode("latin-1").translate(alphabet)
             return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
         self.encode = TextEncoder(pieces.findall, piece)
@@ -101,7 +105,7 @@ class BatchEncoder:
         # codes of all chunks in order, with the end mark behind each text's last
         codes = np.empty(len(coded) + n, np.int64)
         codes[np.arange(len(coded)) + np.repeat(np.arange(n), sizes)] = coded.indices.to_numpy()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # no scalar per chunk
         held = list(map(self.encode.rest.__getitem__, known))
         heads = starts + np.arange(n)
         held.append(np.array([end_id], IDS).tobytes())

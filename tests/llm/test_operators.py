@@ -121,6 +121,21 @@ def test_token_ids_equal_the_library_with_its_default_flags():
     assert list(token_files.parts_of(pa.array([], pa.string()))) == []
 
 
+def test_a_run_of_letters_is_kept_once():
+    from plumbline.llm.chunks import TextEncoder
+
+    asked = []
+
+    def piece(text):
+        asked.append(text)
+        return text.encode() + b"|"
+
+    encode = TextEncoder(lambda chunk: [chunk], piece)
+    assert encode("Oh ab. ab, ab a1 ab. a1") == b"Oh| ab|.| ab|,| ab| a1| ab|.| a1|"
+    assert asked == ["Oh", " ab", ".", ",", " a1"]
+    assert sorted(encode.rest) == ["a1", "ab", "ab,", "ab."] and " ab" not in encode.rest.pieces
+
+
 def test_token_file_encoding(spark, docs):
     import glob
 
